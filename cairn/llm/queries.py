@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixture, survivors, tokens
+from cairn.llm import mixture, subjects, survivors, tokens
 from cairn.session import table
 
 
@@ -26,8 +26,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subjects(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
