@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixture, subjects, survivors, tokens
+from cairn.llm import history, mixture, subjects, survivors, tokens
 from cairn.session import table
 
 
@@ -14,6 +14,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.field_rows(survivors.survivors(df, group, "res_id", usable, "trust", "seen_at"), "digest", "res_id", list(usable))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return history.repeats(table(spark, folder, "snapshots"), table(spark, folder, "download_results"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -31,7 +35,7 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
