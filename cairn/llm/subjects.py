@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from cairn.functions.digest import strip
 from cairn.session import cut
 
-#: Rules need this confidence, and this weight of the prior in it; items this many documents, and this share of all.
-SURE, SMOOTHING, LEAST_DOCS, LEAST_SHARE = 0.6, 0.5, 3, 1e-4
+#: Rules need this confidence (beyond chance), and this weight of the prior in it; items this many documents, and this share of all.
+SURE, SMOOTHING, LEAST_DOCS, LEAST_SHARE = 0.55, 0.5, 3, 1e-4
 #: A voter's clear subject has this share of its sentences, and so many sentences; longer rules gain this confidence.
 CLEAR, CLEAR_SENTENCES, GAIN, LONGEST = 0.2, 2, 0.1, 3
 #: The bound of the labelled sample (documents, by hash), languages are thought to have so many documents at least.
@@ -37,6 +37,8 @@ MOST_LABELLED, LEAST_LANGUAGE = 20_000, 50
 #: Shares of sentences among which the labelled documents choose the threshold.
 THRESHOLDS = (0.25, 0.2, 0.3, 0.35)
 ROUNDS, FILTER_BITS = 3, 24
+#: Words below this plain confidence for every subject don't enter longer rules.
+TELLING = 0.2
 
 _LINKS = re.compile(r"https?://\S+|www\.\S+")
 _UNSEEN = re.compile(r"[\u200b-\u200f\u00ad\u2060\ufeff]")
@@ -156,8 +158,14 @@ def _best(counts: dict[str, Column], total: Column, prior: dict[str, float]) ->
     return F.greatest(*[F.struct(((n + F.lit(SMOOTHING * prior[c])) / (total + F.lit(SMOOTHING))).alias("confidence"), F.lit(c).alias("subject")) for c, n in counts.items()])
 
 
+def _beyond_chance(confidence: Column, subject: Column, prior: dict[str, float]) -> Column:
+    """Calibration: 0 for a confidence that is the subject's share, 1 for certainty."""
+    share = F.element_at(F.create_map(*[x for c, p in prior.items() for x in (F.lit(c), F.lit(min(p, 0.99)))]), subject)
+    return (confidence - share) / (F.lit(1.0) - share)
+
+
 def count_rules(table: DataFrame, votes: DataFrame, rates: DataFrame, codes: list[str], least: int) -> tuple[DataFrame, dict[str, float]]:
-    """Rules of one item, (item, subject, confidence, count), from the sentences of the documents that vote."""
+    """Rules of one item, (item, subject, confidence, raw, count), from the sentences of the documents that vote."""
     shares = votes.agg(F.count("*").alias("docs"), *[F.sum(F.coalesce(F.col("votes")[c], F.lit(0.0))).alias(c) for c in codes]).first()
     prior = {c: (shares[c] or 0.0) / max(1, shares["docs"]) for c in codes}
     rows = table.join(votes, "doc").select("doc", "votes", F.explode("sentences").alias("items")).select("doc", "votes", F.explode("items").alias("item"))
@@ -167,14 +175,15 @@ def count_rules(table: DataFrame, votes: DataFrame, rates: DataFrame, codes: lis
     best = _best({c: F.col(f"s_{i}") for i, c in enumerate(codes)}, F.col("count"), prior)
     told = counted.select("item", "count", best.alias("best")).join(rates, "item")
     cap = F.element_at(F.create_map(*[x for c in codes for x in (F.lit(c), F.lit(prior[c]))]), F.col("best.subject")) / F.col("rate")
-    return told.select("item", F.col("best.subject").alias("subject"), F.least("best.confidence", cap).alias("confidence"), "count"), prior
+    confidence = F.least("best.confidence", cap)
+    return told.select("item", F.col("best.subject").alias("subject"), _beyond_chance(confidence, F.col("best.subject"), prior).alias("confidence"), confidence.alias("raw"), "count"), prior
 
 
 def longer_rules(table: DataFrame, votes: DataFrame, singles: DataFrame, codes: list[str], prior: dict[str, float]) -> DataFrame:
     """Rules of two or three words that aren't redundant: (items, subject, confidence), by FP-growth on the labelled sample."""
     words = table.join(votes, "doc").select(F.monotonically_increasing_id().alias("at"), "votes", F.explode("sentences").alias("items"))
     words = words.select(F.struct("at", F.col("items")).alias("sentence"), "votes", F.explode("items").alias("item")).where(F.col("item") % 2 == 0)
-    kept = words.join(singles.where("confidence >= 0.2").select("item"), "item").groupBy("sentence").agg(F.collect_set("item").alias("items"), F.first("votes").alias("votes"))
+    kept = words.join(singles.where(f"raw >= {TELLING}").select("item"), "item").groupBy("sentence").agg(F.collect_set("item").alias("items"), F.first("votes").alias("votes"))
     marks = {c: -1 - i for i, c in enumerate(codes)}
     mark = F.array_compact(F.array(*[F.when(F.col("votes")[c] == 1.0, F.lit(m).cast("bigint")) for c, m in marks.items()]))
     transactions = cut(kept.select(F.concat("items", mark).alias("items")), "subjects")
@@ -187,7 +196,7 @@ def longer_rules(table: DataFrame, votes: DataFrame, singles: DataFrame, codes:
     code = F.create_map(*[x for c, m in marks.items() for x in (F.lit(m).cast("bigint"), F.lit(c))])
     share = F.create_map(*[x for c in codes for x in (F.lit(c), F.lit(prior[c]))])
     rules = sets.where(f"size(marks) = 1 and size(items) between 1 and {LONGEST}").join(alone, "items").select("items", F.element_at(code, F.get("marks", F.lit(0))).alias("subject"), "freq", "all")
-    rules = rules.select("items", "subject", ((F.col("freq") + SMOOTHING * F.element_at(share, F.col("subject"))) / (F.col("all") + SMOOTHING)).alias("confidence"))
+    rules = rules.select("items", "subject", _beyond_chance((F.col("freq") + SMOOTHING * F.element_at(share, F.col("subject"))) / (F.col("all") + SMOOTHING), F.col("subject"), prior).alias("confidence"))
     parts = rules.where(f"size(items) > 1 and confidence >= {SURE}").select("items", "subject", "confidence", F.explode(_proper_subsets()).alias("part"))
     sub = rules.groupBy(F.col("items").alias("part")).agg(F.max("confidence").alias("known"))
     checked = parts.join(sub, "part", "left").groupBy("items", "subject", "confidence").agg(F.max("known").alias("known"))
