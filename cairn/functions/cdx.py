@@ -34,7 +34,7 @@ def dash_to_null(text: Column) -> Column:
 
 def length_value(text: Column) -> Column:
     """A signed whole number; null for - and for what is none (see length_fault)."""
-    return F.when(text.rlike("^[-+]?[0-9]+$"), text.try_cast("bigint"))
+    return F.when(text.rlike(r"\A[-+]?[0-9]+\z"), text.try_cast("bigint"))
 
 
 def length_fault(text: Column) -> Column:

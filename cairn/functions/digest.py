@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The Base32 alphabet, and the alphabet in which text order is byte order.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ORDERED = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
-PATTERN = "^[A-Z2-7]{32}$"
+PATTERN = r"\A[A-Z2-7]{32}\z"
 BLANKS = r"(?U)^\s+|\s+$"
 
 

@@ -12,7 +12,7 @@ LEAST, MOST = -30_610_224_000, 253_402_300_799
 
 def parse(text: Column) -> Column:
     """The timestamp of 14 digits that exist in calendar and clock, year 1000 or later; else null."""
-    return F.when(text.rlike("^[1-9][0-9]{13}$"), F.try_to_timestamp(text, F.lit(FORMAT)))
+    return F.when(text.rlike(r"\A[1-9][0-9]{13}\z"), F.try_to_timestamp(text, F.lit(FORMAT)))
 
 
 def is_real(text: Column) -> Column:
