@@ -39,6 +39,8 @@ THRESHOLDS = (0.25, 0.2, 0.3, 0.35)
 ROUNDS, FILTER_BITS = 3, 24
 #: Words below this plain confidence for every subject don't enter longer rules.
 TELLING = 0.2
+#: Rows of narrow tables (some 40 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 200_000
 
 _LINKS = re.compile(r"https?://\S+|www\.\S+")
 _UNSEEN = re.compile(r"[\u200b-\u200f\u00ad\u2060\ufeff]")
@@ -46,6 +48,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPEAKER = re.compile(r"^\[\d\d:\d\d\]\s+[^:]*:")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MASK = (1 << 62) - 1
+_TOTALS = pa.list_(pa.struct([("item", pa.int64()), ("k", pa.int32())]))
 
 
 def sentence_words(text: str) -> list[list[str]]:
@@ -63,7 +66,7 @@ class _Items:
 
     def of(self, words: list[str]) -> set[int]:
         known, codes = self.known, []
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in words:
             if (c := known.get(w)) is None:
@@ -113,7 +116,11 @@ def _bitmap(items: DataFrame) -> bytes:
 
 
 def item_sentences(documents: DataFrame, key: str, text: str, kept: bytes) -> DataFrame:
-    """(doc, n, sentences) of each document with a sentence: n sentences, and of each its items that may be in kept."""
+    """(doc, n, sentences, items) of each document with a sentence.
+
+    n is the number of sentences, sentences holds the items of each that may be in kept, items (item, k) the items of the
+    document with the number of its sentences that have them, so that later counts need not gather a document's rows.
+    """
     broadcast = documents.sparkSession.sparkContext.broadcast(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +128,7 @@ def item_sentences(documents: DataFrame, key: str, text: str, kept: bytes) -> Da
         there = lambda i: bits[_bit(i) >> 5] >> (_bit(i) & 31) & 1
         known: dict[int, bool] = {}
         for batch in batches:
-            docs, counts, lists = [], [], []
+            docs, counts, lists, totals = [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t and (sentences := sentence_words(t)):
                     rows = []
@@ -129,7 +136,7 @@ def item_sentences(documents: DataFrame, key: str, text: str, kept: bytes) -> Da
                         row = []
                         for i in items.of(w):
                             if (good := known.get(i)) is None:
-                                if len(known) > 1_000_000:
+                                if len(known) > 300_000:
                                     known.clear()
                                 good = known[i] = bool(there(i))
                             if good:
@@ -138,19 +145,20 @@ def item_sentences(documents: DataFrame, key: str, text: str, kept: bytes) -> Da
                     docs.append(k)
                     counts.append(len(rows))
                     lists.append([r for r in rows if r])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(counts, pa.int32()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], names=["doc", "n", "sentences"])
+                    total = Counter(i for r in rows for i in r)
+                    totals.append([{"item": i, "k": k} for i, k in total.items()])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(counts, pa.int32()), pa.array(lists, pa.list_(pa.list_(pa.int64()))), pa.array(totals, _TOTALS)], names=["doc", "n", "sentences", "items"])
 
     slim = documents.select(documents[key].cast("bigint").alias("doc"), documents[text].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc bigint, n int, sentences array<array<bigint>>")
+    return slim.mapInArrow(run, "doc bigint, n int, sentences array<array<bigint>>, items array<struct<item:bigint,k:int>>")
 
 
 def votes_of_labels(labels: DataFrame, codes: list[str]) -> DataFrame:
-    """(doc, votes map<subject, weight>) of the labelled documents; a document's subjects share its weight, no subject has none."""
+    """(doc, subject, weight) of the labelled documents; a document's subjects share its weight, a null subject has it all."""
     subject = F.lower(strip(labels["subject"]))
     rows = labels.select(labels["doc_id"].cast("bigint").alias("doc"), F.when(subject.isin(*codes), subject).alias("subject")).where("doc is not null")
     sample = rows.groupBy("doc").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc")).limit(MOST_LABELLED)
-    weights = F.map_from_arrays("subjects", F.transform("subjects", lambda _: F.lit(1.0) / F.size("subjects")))
-    return sample.select("doc", weights.alias("votes"))
+    return sample.select("doc", F.explode_outer("subjects").alias("subject"), (F.lit(1.0) / F.greatest(F.size("subjects"), F.lit(1))).alias("weight"))
 
 
 def _best(counts: dict[str, Column], total: Column, prior: dict[str, float]) -> Column:
@@ -158,6 +166,11 @@ def _best(counts: dict[str, Column], total: Column, prior: dict[str, float]) ->
     return F.greatest(*[F.struct(((n + F.lit(SMOOTHING * prior[c])) / (total + F.lit(SMOOTHING))).alias("confidence"), F.lit(c).alias("subject")) for c, n in counts.items()])
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has so few rows that it fits anywhere; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
 def _beyond_chance(confidence: Column, subject: Column, prior: dict[str, float]) -> Column:
     """Calibration: 0 for a confidence that is the subject's share, 1 for certainty."""
     share = F.element_at(F.create_map(*[x for c, p in prior.items() for x in (F.lit(c), F.lit(min(p, 0.99)))]), subject)
@@ -166,12 +179,12 @@ def _beyond_chance(confidence: Column, subject: Column, prior: dict[str, float])
 
 def count_rules(table: DataFrame, votes: DataFrame, rates: DataFrame, codes: list[str], least: int) -> tuple[DataFrame, dict[str, float]]:
     """Rules of one item, (item, subject, confidence, raw, count), from the sentences of the documents that vote."""
-    shares = votes.agg(F.count("*").alias("docs"), *[F.sum(F.coalesce(F.col("votes")[c], F.lit(0.0))).alias(c) for c in codes]).first()
-    prior = {c: (shares[c] or 0.0) / max(1, shares["docs"]) for c in codes}
-    rows = table.join(votes, "doc").select("doc", "votes", F.explode("sentences").alias("items")).select("doc", "votes", F.explode("items").alias("item"))
-    by_doc = rows.groupBy("item", "doc").agg(F.count("*").alias("n"), F.first("votes").alias("votes"))
-    sums = [F.sum(F.coalesce(F.col("votes")[c], F.lit(0.0)) * F.col("n")).alias(f"s_{i}") for i, c in enumerate(codes)]
-    counted = by_doc.groupBy("item").agg(F.sum("n").alias("count"), F.count("*").alias("docs"), *sums).where(F.col("docs") >= least)
+    shares = votes.groupBy("subject").agg(F.sum("weight").alias("docs")).collect()  # a row per subject
+    all_docs = sum(r.docs for r in shares)
+    prior = {c: next((r.docs for r in shares if r.subject == c), 0.0) / max(1.0, all_docs) for c in codes}
+    rows = table.select("doc", "items").join(_bounded(votes), "doc").select("subject", "weight", F.inline("items"))
+    sums = [F.sum(F.when(F.col("subject") == c, F.col("k") * F.col("weight")).otherwise(0.0)).alias(f"s_{i}") for i, c in enumerate(codes)]
+    counted = rows.groupBy("item").agg(F.sum(F.col("k") * F.col("weight")).alias("count"), F.sum("weight").alias("docs"), *sums).where(F.col("docs") >= least - 1e-6)
     best = _best({c: F.col(f"s_{i}") for i, c in enumerate(codes)}, F.col("count"), prior)
     told = counted.select("item", "count", best.alias("best")).join(rates, "item")
     cap = F.element_at(F.create_map(*[x for c in codes for x in (F.lit(c), F.lit(prior[c]))]), F.col("best.subject")) / F.col("rate")
@@ -181,11 +194,12 @@ def count_rules(table: DataFrame, votes: DataFrame, rates: DataFrame, codes: lis
 
 def longer_rules(table: DataFrame, votes: DataFrame, singles: DataFrame, codes: list[str], prior: dict[str, float]) -> DataFrame:
     """Rules of two or three words that aren't redundant: (items, subject, confidence), by FP-growth on the labelled sample."""
-    words = table.join(votes, "doc").select(F.monotonically_increasing_id().alias("at"), "votes", F.explode("sentences").alias("items"))
-    words = words.select(F.struct("at", F.col("items")).alias("sentence"), "votes", F.explode("items").alias("item")).where(F.col("item") % 2 == 0)
-    kept = words.join(singles.where(f"raw >= {TELLING}").select("item"), "item").groupBy("sentence").agg(F.collect_set("item").alias("items"), F.first("votes").alias("votes"))
     marks = {c: -1 - i for i, c in enumerate(codes)}
-    mark = F.array_compact(F.array(*[F.when(F.col("votes")[c] == 1.0, F.lit(m).cast("bigint")) for c, m in marks.items()]))
+    number = F.element_at(F.create_map(*[x for c, m in marks.items() for x in (F.lit(c), F.lit(m).cast("bigint"))]), F.col("subject"))
+    told = votes.select("doc", F.when(F.col("weight") == 1.0, number).alias("mark")).groupBy("doc").agg(F.max("mark").alias("mark"))
+    words = table.join(told, "doc").select("doc", "mark", F.posexplode("sentences").alias("at", "items")).select("doc", "at", "mark", F.explode("items").alias("item")).where(F.col("item") % 2 == 0)
+    kept = words.join(singles.where(f"raw >= {TELLING}").select("item"), "item").groupBy("doc", "at", "mark").agg(F.collect_set("item").alias("items"))
+    mark = F.array_compact(F.array("mark"))
     transactions = cut(kept.select(F.concat("items", mark).alias("items")), "subjects")
     n = transactions.count()
     if n == 0:
@@ -213,9 +227,10 @@ def score(table: DataFrame, singles: DataFrame, longer: DataFrame) -> DataFrame:
     """(doc, n, counts map<subject, sentences>) of each document with evidence; a sentence counts for its surest rule."""
     sentences = table.select("doc", "n", F.posexplode("sentences").alias("at", "items"))
     sure = F.struct("confidence", "subject")
-    by_item = sentences.select("doc", "n", "at", F.explode("items").alias("item")).join(singles.where(f"confidence >= {SURE}").select("item", sure.alias("rule")), "item").select("doc", "n", "at", "rule")
+    rules = _bounded(singles.where(f"confidence >= {SURE}").select("item", sure.alias("rule")))
+    by_item = sentences.select("doc", "n", "at", F.explode("items").alias("item")).join(rules, "item").select("doc", "n", "at", "rule")
     first = longer.select(F.get("items", F.lit(0)).alias("item"), F.col("items").alias("needed"), sure.alias("rule"))
-    by_set = sentences.select("doc", "n", "at", "items", F.explode("items").alias("item")).join(first, "item").where(F.size(F.array_except("needed", "items")) == 0).select("doc", "n", "at", "rule")
+    by_set = sentences.select("doc", "n", "at", "items", F.explode("items").alias("item")).join(_bounded(first), "item").where(F.size(F.array_except("needed", "items")) == 0).select("doc", "n", "at", "rule")
     best = by_item.unionByName(by_set).groupBy("doc", "n", "at").agg(F.max("rule").alias("rule"))
     per = best.groupBy("doc", "n", F.col("rule.subject").alias("subject")).agg(F.count("*").alias("k"))
     return per.groupBy("doc", "n").agg(F.map_from_entries(F.collect_list(F.struct("subject", "k"))).alias("counts"))
@@ -226,16 +241,17 @@ def clear_votes(scores: DataFrame) -> DataFrame:
     total = F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, k: a + k)
     tops = F.map_filter("counts", lambda _, k: (k >= CLEAR * F.col("n")) & (k >= 0.3 * total))
     clear = scores.select("doc", total.alias("total"), "n", tops.alias("tops")).where((F.col("total") >= F.greatest(F.lit(CLEAR_SENTENCES), CLEAR * F.col("n"))) & (F.size("tops") == 1))
-    return clear.select("doc", F.map_from_arrays(F.map_keys("tops"), F.array(F.lit(1.0))).alias("votes"))
+    return clear.select("doc", F.get(F.map_keys("tops"), F.lit(0)).alias("subject"), F.lit(1.0).alias("weight"))
 
 
 def _threshold(scores: DataFrame, votes: DataFrame) -> float:
     """The threshold whose subjects agree best with the labelled documents' (F1); the first of THRESHOLDS where equal."""
-    labelled = votes.join(scores, "doc", "left")
+    told = votes.groupBy("doc").agg(F.collect_set("subject").alias("subjects"))
+    labelled = told.join(scores, "doc", "left")
     sums = []
     for i, t in enumerate(THRESHOLDS):
         had = F.coalesce(F.map_keys(F.map_filter("counts", lambda _, k: k >= t * F.col("n"))), F.array().cast("array<string>"))
-        sums += [F.sum(F.size(F.array_intersect(had, F.map_keys("votes")))).alias(f"hit_{i}"), F.sum(F.size(had) + F.size("votes")).alias(f"all_{i}")]
+        sums += [F.sum(F.size(F.array_intersect(had, "subjects"))).alias(f"hit_{i}"), F.sum(F.size(had) + F.size("subjects")).alias(f"all_{i}")]
     r = labelled.agg(*sums).first()
     agreement = [(r[f"hit_{i}"] or 0) / max(1, r[f"all_{i}"] or 0) for i in range(len(THRESHOLDS))]
     return THRESHOLDS[agreement.index(max(agreement))]
@@ -254,9 +270,10 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     if not codes:
         return nothing
     votes = cut(votes_of_labels(labels, codes), "subjects")
-    known = votes.agg(F.count("*").alias("docs"), F.max(F.size("votes")).alias("most")).first()
-    if not known.most:
+    known = votes.groupBy("subject").agg(F.sum("weight").alias("docs")).collect()  # a row per subject
+    if not any(r.subject for r in known):
         return nothing
+    most = max(r.docs for r in known if r.subject) / sum(r.docs for r in known)
     counts = cut(item_counts(documents, "text", "lang"), "subjects")
     sizes = {r.language: r.docs for r in counts.where("item = 0").collect()}  # a row per language code
     floor = max(LEAST_DOCS, int(LEAST_SHARE * sum(sizes.values())))
@@ -266,7 +283,6 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     per_language = counts.where("item <> 0").withColumn("rate", F.col("docs") / F.element_at(size, F.col("language")))
     told = F.max(F.when(F.col("language") != "?", F.col("rate")))
     rates = per_language.groupBy("item").agg(F.sum("docs").alias("docs"), F.coalesce(told, F.max("rate")).alias("rate")).where(F.col("docs") >= floor)
-    most = votes.select(F.explode("votes").alias("subject", "w")).groupBy("subject").agg((F.sum("w") / F.lit(known.docs)).alias("share")).agg(F.max("share")).first()[0] or 0.0
     rates = cut(rates.where(F.col("rate") <= F.lit(2.0 * most / SURE)).select("item", "rate"), "subjects")
     table = cut(item_sentences(documents, "doc_id", "text", _bitmap(rates)), "subjects")
 
