@@ -30,6 +30,8 @@ from cairn.functions import digest, jsontext
 from cairn.session import cut, file_system, shared_folder
 
 PARTITIONS, COUNT_BITS, HASHES = 64, 18, 4
+#: Rows of postings (some 100 bytes each) up to which they are broadcast.
+MOST_BROADCAST = 200_000
 _LINKS = re.compile(r"https?://\S+|www\.\S+", re.IGNORECASE)
 _UNSEEN = re.compile(r"[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
@@ -302,7 +304,9 @@ class History:
         posts = postings_of(texts)
         keys = keys_of(reps, "id").withColumn("print", _key_print(F.col("key"))).withColumn("part", _part(F.col("print")))
         positive = cut(self.positives(posts.select("part", "print").unionByName(keys.select("part", "print"))), "history")
-        asked = posts.join(positive.select("print"), "print", "left_semi")
+        asked = cut(posts.join(positive.select("print"), "print", "left_semi"), "history")
+        if asked.count() <= MOST_BROADCAST:  # the store's postings are then read in place, not shuffled
+            asked = F.broadcast(asked)
         old = asked.alias("a").join(self.postings().alias("b"), F.col("a.print") == F.col("b.print")).where((F.col("a.text_key") != F.col("b.text_key")) & may_be_near()).select(F.col("a.text_key").alias("text_key"), F.col("b.text_key").alias("other"), F.lit(True).alias("known"))
         new = posts.alias("a").join(posts.alias("b"), F.col("a.print") == F.col("b.print")).where((F.col("a.text_key") < F.col("b.text_key")) & may_be_near()).select(F.col("a.text_key").alias("text_key"), F.col("b.text_key").alias("other"), F.lit(False).alias("known"))
         pairs = old.unionByName(new).distinct()
