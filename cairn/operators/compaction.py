@@ -39,7 +39,7 @@ def record_key(line: Column) -> Column:
         keys: list[str | None] = []
         for line in lines:
             key = None
-            if isinstance(line, str) and line[:1] in ("{", " ", "\t"):
+            if isinstance(line, str) and line.lstrip(" \t\r")[:1] == "{":
                 try:
                     value = jsontext.parse(line)
                 except ValueError:

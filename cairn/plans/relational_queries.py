@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import cdx, digest, snapshot, times
-from cairn.operators import archive
+from cairn.operators import archive, pipelines
+from cairn.plans import archive_queries
 from cairn.plans import sqltext as q
 from cairn.plans.archive_queries import c, cap, copy, lines, log, query, snap
 from cairn.session import table
@@ -359,3 +360,57 @@ def k6_k8_log_merge(s, d):
 def k7_log_import(s, d):
     key, t = ["url", "actual_digest"], log(s, d)
     return archive.log_import(archive.log_merge(t.where("result_id % 3 = 0"), key=key, observed="observed"), t.where("result_id % 3 <> 0"), key, "observed")
+
+
+# Pipelines --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {q.SNAP} SELECT digest, url, count(*) AS n FROM (SELECT s.digest, u.url FROM snap s JOIN ({archive_queries.SQL['e8_infer_url']}) u USING (snap_id) WHERE s.url IS NULL AND s.ts IS NULL AND s.expected_digest IS NULL) GROUP BY 1, 2")
+def urls_to_fill(s, d):
+    return pipelines.urls_to_fill(snap(s, d)).groupBy("digest", "url").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NAMES} SELECT count(*) AS total, count(*) FILTER ({q.is_digest('name')}) AS valid, count(*) FILTER ({q.is_digest('name')} AND name IN (SELECT {q.b32('text')} FROM documents WHERE doc_id % 2 = 0 AND text IS NOT NULL)) AS known FROM raw")
+def clean_flat(s, d):
+    known = table(s, d, "documents").where("doc_id % 2 = 0 and text is not null").select(digest.sha1_base32(c("text")).alias("digest"))
+    return pipelines.clean_report(raw(s, d), known)
+
+
+@query(f"WITH {q.SNAP} SELECT snap_id, '{{\"digest\":\"' || digest || '\",' || coalesce('\"timestamp\":\"' || ts || '\",', '') || '\"format\":{{\"type\":\"gzip\",\"closing_whitespace\":\"\\t\"}},\"content\":' || content || '}}' AS line FROM snap WHERE json_valid(content)")
+def e12_migrate(s, d):
+    # the old line has its fields in another order, the format as a text and the white space beside it
+    stamp = F.coalesce(F.concat(F.lit('"timestamp": "'), "ts", F.lit('", ')), F.lit(""))
+    old = F.concat(F.lit('{"closing_whitespace":"\\t", '), stamp, F.lit('"content": '), "content", F.lit(' ,"digest": "'), "digest", F.lit('","format":"gzip"}'))
+    return snap(s, d).select("snap_id", pipelines.migrated(old).alias("line")).where("line is not null")
+
+
+@query(
+    f"{_KEYED}, v AS (SELECT *, CASE WHEN NOT good OR (timestamp <> '' AND NOT {q.real('timestamp')}) THEN 'invalid_line' ELSE {q.verify('digest', 'content', 'format', 'chr(10)')} END AS state, last_value(k IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) "
+    "SELECT file_name, count(*) FILTER (state = 'ok') AS valid, count(*) FILTER (state NOT IN ('ok', 'unsupported_format')) AS invalid, count(*) FILTER (state = 'unsupported_format') AS skipped, count(*) FILTER (k <= before) AS misplaced, count(*) AS lines FROM v GROUP BY 1"
+)
+def g12_plain_report(s, d):
+    return pipelines.plain_report(lines(s, d), "file_name", "line_no")
+
+
+@query(f"WITH t AS (SELECT text, regexp_replace(text, '[\\r\\n \\t]+$', '') AS content, regexp_extract(text, '([\\r\\n \\t]*)$', 1) AS space FROM documents WHERE text IS NOT NULL) SELECT {q.b32('text')} AS digest, CASE WHEN regexp_matches(content, '[\\r\\n]') THEN 'internal_line_break' END AS fault, count(*) AS n FROM t GROUP BY 1, 2")
+def snk2_raw_to_snapshots(s, d):
+    t = table(s, d, "documents").where("text is not null").select("text")
+    return pipelines.snapshot_lines(t).groupBy("digest", "fault").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_NAMES} SELECT bool_and(name = actual) AS ok, count(*) AS checked, count(*) FILTER (name <> actual) AS mismatches FROM raw WHERE {q.is_digest('name')}")
+def a16_verify_all(s, d):
+    t = raw(s, d).where(digest.is_digest(c("name"))).withColumn("ok", c("name") == c("actual"))
+    return pipelines.verify_all(t)
+
+
+@query("SELECT capture_id, original AS url, timestamp AS ts, coalesce(digest, '-') AS digest, coalesce(nullif(mimetype, '-'), '-') AS mime_type, statuscode AS status FROM captures")
+def snk15_record_rows(s, d):
+    dash = lambda x: F.coalesce(x, F.lit("-"))
+    return table(s, d, "captures").select("capture_id", c("original").alias("url"), c("timestamp").alias("ts"), dash(c("digest")).alias("digest"), dash(c("mimetype")).alias("mime_type"), dash(c("statuscode")).alias("status"))
+
+
+@query("SELECT outcome, CASE WHEN outcome = 'success' AND actual_digest IS NOT NULL THEN 'logged_mismatch' WHEN outcome = 'success' THEN 'kept' WHEN outcome = 'not_found' THEN 'ignored' ELSE 'failed' END AS act, count(*) AS n FROM download_results GROUP BY ALL")
+def l15_download_outcomes(s, d):
+    act = F.when((c("outcome") == "success") & c("actual_digest").isNotNull(), "logged_mismatch").when(c("outcome") == "success", "kept").when(c("outcome") == "not_found", "ignored").otherwise("failed")
+    return table(s, d, "download_results").groupBy("outcome", act.alias("act")).agg(F.count("*").alias("n"))
