@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.functions import gzipformat, snapshot
+from cairn.functions import gzipformat, snapshot, urlrule
 
 Decode = Callable[[Column], Column]
 Encode = Callable[[Column, Column], Column]
@@ -39,38 +39,12 @@ class Context:
 
     @classmethod
     def load(cls, path: str) -> Context:
-        """A context from a TOML or JSON file, with the gzip codec; the two known URL rules are told by their text."""
+        """A context from a TOML or JSON file (closing_whitespace, url_query), with the gzip codec."""
         import json
         import tomllib
 
         with open(path, "rb") as f:
             given = json.load(f) if path.endswith(".json") else tomllib.load(f)
-        rule, infer = (given.get("url_query") or "").strip(), None
-        if rule:
-            infer = rule_of(rule)
-        out = cls(given.get("closing_whitespace", "\n"), infer)
+        rule = (given.get("url_query") or "").strip()
+        out = cls(given.get("closing_whitespace", "\n"), urlrule.compiled(rule) if rule else None)
         return out.register("gzip", gzipformat.decompressed, gzipformat.encoded)
-
-
-def rule_of(rule: str) -> Callable[[Column], Column]:
-    """The column form of a URL rule: 'prefix' + content.a.b (+ 'text' …), or the two-shape rule for posts; ValueError else."""
-    import re
-
-    if "content.includes.users" in rule and "content.user.screen_name" in rule:
-        return snapshot.inferred_url
-    parts = [p.strip() for p in rule.split("+")]
-    if not all(re.fullmatch(r"'[^'\\]*'|content(\.\w+)+", p) for p in parts):
-        raise ValueError(f"no known URL rule: {rule}")
-
-    def infer(content: Column) -> Column:
-        v = F.try_parse_json(content)
-        out = []
-        for p in parts:
-            if p.startswith("'"):
-                out.append(F.lit(p[1:-1]))
-            else:
-                at = "$" + p.removeprefix("content")
-                out.append(F.when(F.schema_of_variant(F.try_variant_get(v, at, "variant")) == "STRING", F.try_variant_get(v, at, "string")))
-        return F.concat(*out)
-
-    return infer
