@@ -59,5 +59,29 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("line_id", F.get("errors", F.lit(0)).alias("reason"))
 
 
+def _p1_sql() -> str:
+    items = lambda v: f"CASE WHEN {v} IS NULL OR json_type({v}) = 'NULL' THEN [] WHEN json_type({v}) = 'ARRAY' THEN from_json({v}, '[\"JSON\"]') ELSE [{v}] END"
+
+    def level(name: str, of: str, value: str, above: str) -> str:
+        """name: the items of a value of each row of another level, with their places and those above."""
+        return f"{name} AS (SELECT snap_id, i::INT AS pos, {above}, v FROM (SELECT snap_id, p, g, unnest(range(len(l))) AS i, unnest(l) AS v FROM (SELECT snap_id, pos AS p, parent_pos AS g, {items(value)} AS l FROM {of})) WHERE v IS NOT NULL AND json_type(v) <> 'NULL')"
+
+    top, below, deep = "-1 AS parent_pos, -1 AS grand_pos", "p AS parent_pos, -1 AS grand_pos", "p AS parent_pos, g AS grand_pos"
+    levels = [
+        level("post", "j", "json_extract(v, '$.data')", top), level("edit", "post", "json_extract(v, '$.edit_history_tweet_ids')", below), level("ref", "post", "json_extract(v, '$.referenced_tweets')", below), level("url", "post", "json_extract(v, '$.entities.urls')", below),
+        level("image", "url", "json_extract(v, '$.images')", deep), level("error", "j", "json_extract(v, '$.errors')", top), level("user", "j", "json_extract(v, '$.includes.users')", top), level("media", "j", "json_extract(v, '$.includes.media')", top), level("variant", "media", "json_extract(v, '$.variants')", below),
+    ]
+    rows = [f"SELECT snap_id, '{n}' AS rel, grand_pos, parent_pos, pos, coalesce(json_extract_string(v, '${'.' + k if k else ''}'), '') AS child_key FROM {n}" for n, k in CHILD_KEY.items() if n != "text"]
+    rows.append("SELECT snap_id, 'text', -1, pos, 0, json_extract_string(v, '$.text') FROM post WHERE json_extract_string(v, '$.text') IS NOT NULL")
+    return (
+        "WITH c AS (SELECT snap_id, CASE WHEN json_valid(content) THEN content::JSON END AS v FROM snapshots), j AS (SELECT snap_id, -1 AS pos, -1 AS parent_pos, CASE WHEN json_type(v) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(v, '$')) THEN json_extract_string(v, '$')::JSON END ELSE v END AS v FROM c), "
+        + ", ".join(levels) + " " + " UNION ALL ".join(rows)
+    )
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p1_found": _p1_sql()}
+
+
 def queries() -> dict:
     return {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}

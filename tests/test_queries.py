@@ -8,7 +8,9 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from cairn.plans import archive_queries, relational_queries  # noqa: E402, F401
+from cairn.plans import archive_queries, problems, relational_queries  # noqa: E402, F401
+
+QUERIES, SQL = archive_queries.QUERIES | problems.queries(), archive_queries.SQL | problems.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,12 +25,12 @@ def ordered(rows):
     return sorted(rows, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(archive_queries.SQL))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, folder, database, name):
-    df = archive_queries.QUERIES[name](spark, folder)
+    df = QUERIES[name](spark, folder)
     columns = sorted(df.columns)
     got = ordered(tuple(r) for r in df.select(*columns).collect())
-    result = database.execute(f"select {', '.join(columns)} from ({archive_queries.SQL[name]})")
+    result = database.execute(f"select {', '.join(columns)} from ({SQL[name]})")
     assert got == ordered(result.fetchall()) and got
 
 
