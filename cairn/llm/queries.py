@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import history, mixture, subjects, survivors, tokens
+from cairn.plans import sqltext as q
 from cairn.session import table
 
 
@@ -39,4 +40,14 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bare = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+    usable = {
+        "timestamp": q.real(bare("timestamp")),
+        "url": f"regexp_matches({bare('url')}, '^(?i:https?)://[^/?#:\\s]')",
+        "expected_digest": f"{q.is_digest(q.clean('expected_digest'))} AND {q.clean('expected_digest')} <> d",
+    }
+    rows = " UNION ALL ".join(f"SELECT d, '{f}' AS field, res_id, trust, seen_at FROM k WHERE {u}" for f, u in usable.items())
+    return {
+        "p3_found": f"WITH g AS (SELECT *, {q.clean('digest')} AS d FROM resolutions), k AS (SELECT * FROM g WHERE {q.is_digest('d')}), n AS (SELECT d FROM k GROUP BY 1 HAVING count(*) > 1), t AS ({rows}) "
+        "SELECT d AS digest, field, res_id FROM (SELECT *, row_number() OVER (PARTITION BY d, field ORDER BY trust DESC NULLS LAST, seen_at DESC NULLS LAST, res_id) AS r FROM t WHERE d IN (SELECT d FROM n)) WHERE r = 1"
+    }
