@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -34,9 +35,9 @@ SURE, SMOOTHING, LEAST_DOCS, LEAST_SHARE = 0.55, 0.5, 3, 1e-4
 CLEAR, CLEAR_SENTENCES, GAIN, LONGEST = 0.2, 2, 0.1, 3
 #: The bound of the labelled sample (documents, by hash), languages are thought to have so many documents at least.
 MOST_LABELLED, LEAST_LANGUAGE = 20_000, 50
-#: Shares of sentences among which the labelled documents choose the threshold.
-THRESHOLDS = (0.25, 0.2, 0.3, 0.35)
-ROUNDS, FILTER_BITS = 3, 24
+#: (share of sentences, number of sentences) that a subject needs; the labelled documents choose among them.
+THRESHOLDS = ((0.25, 2), (0.2, 2), (0.3, 2), (0.35, 2), (0.25, 1), (0.2, 1), (0.3, 1), (0.35, 1))
+ROUNDS, FILTER_BITS, ROWS_AT_ONCE = 3, 24, 2_000
 #: Words below this plain confidence for every subject don't enter longer rules.
 TELLING = 0.2
 #: Rows of narrow tables (some 40 bytes each) up to which they are broadcast.
@@ -48,7 +49,6 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _SPEAKER = re.compile(r"^\[\d\d:\d\d\]\s+[^:]*:")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _MASK = (1 << 62) - 1
-_TOTALS = pa.list_(pa.struct([("item", pa.int64()), ("k", pa.int32())]))
 
 
 def sentence_words(text: str) -> list[list[str]]:
@@ -101,6 +101,10 @@ def item_counts(documents: DataFrame, text: str, language: str) -> DataFrame:
     return slim.mapInArrow(run, "item bigint, language string, docs bigint").groupBy("item", "language").agg(F.sum("docs").alias("docs"))
 
 
+def _arrow(values: array, kind: str) -> pa.Array:
+    return pa.array(np.frombuffer(values, dtype=kind)) if len(values) else pa.array([], pa.int64() if kind == "i8" else pa.int32())
+
+
 def _bit(item: int) -> int:
     return (item >> 7) & ((1 << FILTER_BITS) - 1)
 
@@ -124,32 +128,41 @@ def item_sentences(documents: DataFrame, key: str, text: str, kept: bytes) -> Da
     broadcast = documents.sparkSession.sparkContext.broadcast(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, bits = _Items(), np.frombuffer(broadcast.value, dtype=np.uint32)
-        there = lambda i: bits[_bit(i) >> 5] >> (_bit(i) & 31) & 1
-        known: dict[int, bool] = {}
-        for batch in batches:
-            docs, counts, lists, totals = [], [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if t and (sentences := sentence_words(t)):
-                    rows = []
+        items, bits = _Items(), broadcast.value
+        known: dict[int, int] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                docs, sizes, kept_items, ends, doc_ends, told, times, told_ends = array("q"), array("i"), array("q"), array("i", [0]), array("i", [0]), array("q"), array("i"), array("i", [0])
+                for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if not t or not (sentences := sentence_words(t)):
+                        continue
+                    total: Counter[int] = Counter()
                     for w in sentences:
                         row = []
                         for i in items.of(w):
                             if (good := known.get(i)) is None:
                                 if len(known) > 300_000:
                                     known.clear()
-                                good = known[i] = bool(there(i))
+                                b = _bit(i)
+                                good = known[i] = bits[b >> 3] >> (b & 7) & 1
                             if good:
                                 row.append(i)
-                        rows.append(sorted(row))
+                        if row:
+                            total.update(row)
+                            kept_items.extend(row)
+                            ends.append(len(kept_items))
                     docs.append(k)
-                    counts.append(len(rows))
-                    lists.append([r for r in rows if r])
-                    total = Counter(i for r in rows for i in r)
-                    totals.append([{"item": i, "k": k} for i, k in total.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(counts, pa.int32()), pa.array(lists, pa.list_(pa.list_(pa.int64()))), pa.array(totals, _TOTALS)], names=["doc", "n", "sentences", "items"])
-
-    slim = documents.select(documents[key].cast("bigint").alias("doc"), documents[text].cast("string").alias("text"))
+                    sizes.append(len(sentences))
+                    doc_ends.append(len(ends) - 1)
+                    told.extend(total.keys())
+                    times.extend(total.values())
+                    told_ends.append(len(told))
+                lists = pa.ListArray.from_arrays(_arrow(doc_ends, "i4"), pa.ListArray.from_arrays(_arrow(ends, "i4"), _arrow(kept_items, "i8")))
+                pairs = pa.ListArray.from_arrays(_arrow(told_ends, "i4"), pa.StructArray.from_arrays([_arrow(told, "i8"), _arrow(times, "i4")], ["item", "k"]))
+                yield pa.RecordBatch.from_arrays([_arrow(docs, "i8"), _arrow(sizes, "i4"), lists, pairs], names=["doc", "n", "sentences", "items"])
+
+    slim = documents.select(documents[key].cast("bigint").alias("doc"), documents[text].cast("string").alias("text")).where("doc is not null")
     return slim.mapInArrow(run, "doc bigint, n int, sentences array<array<bigint>>, items array<struct<item:bigint,k:int>>")
 
 
@@ -223,17 +236,19 @@ def _proper_subsets() -> Column:
     return F.array_distinct(F.concat(singles, without_one))
 
 
-def score(table: DataFrame, singles: DataFrame, longer: DataFrame) -> DataFrame:
+def score(table: DataFrame, singles: DataFrame, longer: DataFrame, codes: list[str]) -> DataFrame:
     """(doc, n, counts map<subject, sentences>) of each document with evidence; a sentence counts for its surest rule."""
     sentences = table.select("doc", "n", F.posexplode("sentences").alias("at", "items"))
-    sure = F.struct("confidence", "subject")
-    rules = _bounded(singles.where(f"confidence >= {SURE}").select("item", sure.alias("rule")))
+    number = F.element_at(F.create_map(*[x for i, c in enumerate(codes) for x in (F.lit(c), F.lit(i))]), F.col("subject"))
+    packed = (F.round(F.col("confidence") * 1e9).cast("bigint") * len(codes) + number).alias("rule")  # one number: hash aggregates
+    rules = _bounded(singles.where(f"confidence >= {SURE}").select("item", packed))
     by_item = sentences.select("doc", "n", "at", F.explode("items").alias("item")).join(rules, "item").select("doc", "n", "at", "rule")
-    first = longer.select(F.get("items", F.lit(0)).alias("item"), F.col("items").alias("needed"), sure.alias("rule"))
+    first = longer.select(F.get("items", F.lit(0)).alias("item"), F.col("items").alias("needed"), packed)
     by_set = sentences.select("doc", "n", "at", "items", F.explode("items").alias("item")).join(_bounded(first), "item").where(F.size(F.array_except("needed", "items")) == 0).select("doc", "n", "at", "rule")
     best = by_item.unionByName(by_set).groupBy("doc", "n", "at").agg(F.max("rule").alias("rule"))
-    per = best.groupBy("doc", "n", F.col("rule.subject").alias("subject")).agg(F.count("*").alias("k"))
-    return per.groupBy("doc", "n").agg(F.map_from_entries(F.collect_list(F.struct("subject", "k"))).alias("counts"))
+    per = best.groupBy("doc", "n", F.pmod("rule", F.lit(len(codes))).cast("int").alias("number")).agg(F.count("*").alias("k"))
+    subject = F.get(F.array(*map(F.lit, codes)), F.col("number")).alias("subject")
+    return per.select("doc", "n", subject, "k").groupBy("doc", "n").agg(F.map_from_entries(F.collect_list(F.struct("subject", "k"))).alias("counts"))
 
 
 def clear_votes(scores: DataFrame) -> DataFrame:
@@ -244,13 +259,18 @@ def clear_votes(scores: DataFrame) -> DataFrame:
     return clear.select("doc", F.get(F.map_keys("tops"), F.lit(0)).alias("subject"), F.lit(1.0).alias("weight"))
 
 
-def _threshold(scores: DataFrame, votes: DataFrame) -> float:
+def _enough(threshold: tuple[float, int]) -> Column:
+    share, least = threshold
+    return F.map_keys(F.map_filter("counts", lambda _, k: (k >= share * F.col("n")) & (k >= least)))
+
+
+def _threshold(scores: DataFrame, votes: DataFrame) -> tuple[float, int]:
     """The threshold whose subjects agree best with the labelled documents' (F1); the first of THRESHOLDS where equal."""
     told = votes.groupBy("doc").agg(F.collect_set("subject").alias("subjects"))
     labelled = told.join(scores, "doc", "left")
     sums = []
     for i, t in enumerate(THRESHOLDS):
-        had = F.coalesce(F.map_keys(F.map_filter("counts", lambda _, k: k >= t * F.col("n"))), F.array().cast("array<string>"))
+        had = F.coalesce(_enough(t), F.array().cast("array<string>"))
         sums += [F.sum(F.size(F.array_intersect(had, "subjects"))).alias(f"hit_{i}"), F.sum(F.size(had) + F.size("subjects")).alias(f"all_{i}")]
     r = labelled.agg(*sums).first()
     agreement = [(r[f"hit_{i}"] or 0) / max(1, r[f"all_{i}"] or 0) for i in range(len(THRESHOLDS))]
@@ -289,10 +309,9 @@ def subjects(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataF
     singles, prior = count_rules(table, votes, rates, codes, 1)
     singles = cut(singles, "subjects")
     longer = cut(longer_rules(table, votes, singles, codes, prior), "subjects")
-    scores = cut(score(table, singles, longer), "subjects")
+    scores = cut(score(table, singles, longer, codes), "subjects")
     for _ in range(ROUNDS - 1):
         singles, _ = count_rules(table, cut(clear_votes(scores), "subjects"), rates, codes, 2)
-        scores = cut(score(table, cut(singles.where(f"confidence >= {SURE}"), "subjects"), longer), "subjects")
+        scores = cut(score(table, cut(singles.where(f"confidence >= {SURE}"), "subjects"), longer, codes), "subjects")
     threshold = _threshold(scores, votes)
-    had = F.map_keys(F.map_filter("counts", lambda _, k: k >= threshold * F.col("n")))
-    return scores.select(F.col("doc").alias("doc_id"), F.explode(had).alias("subject"))
+    return scores.select(F.col("doc").alias("doc_id"), F.explode(_enough(threshold)).alias("subject"))

@@ -15,6 +15,7 @@ from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -150,7 +151,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = BYTE_BPE_50K) -
             for text in batch.column(1).to_pylist():
                 ids.extend(c.encode(text))
                 offsets.append(len(ids))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(offsets, dtype="i4")), pa.array(np.frombuffer(ids, dtype="i4") if ids else [], pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["key", "ids"])
 
     slim = df.select(df[key].alias("key"), df[text].cast("string").alias("text"))
