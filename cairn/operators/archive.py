@@ -93,23 +93,43 @@ def dual_merge(first: DataFrame, second: DataFrame, new: DataFrame, classify: Co
     return old.unionByName(fresh.select(classify.alias("target"), "digest", F.lit("new").alias("origin")))
 
 
+BLOCK = 100_000
+
+
+def _running(lines: DataFrame, file: str, number: str, value: Column, last: bool) -> DataFrame:
+    """lines with before: the last (or greatest) value that isn't null of all lines before each in its file.
+
+    Files are cut into blocks of line numbers. The windows run over a block at a time, what earlier blocks hand on is one
+    value per block; so a file of any length is spread over many tasks. number must be set and unique in a file.
+    """
+    of = (lambda c: F.last(c, ignorenulls=True)) if last else F.max
+    rows = lines.withColumn("_value", value).withColumn("_block", F.floor(F.col(number) / BLOCK))
+    ends = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(number))) if last else F.max("_value")
+    blocks = rows.groupBy(F.col(file).alias("_file"), "_block").agg(ends.alias("_end"))
+    handed = blocks.select("_file", F.col("_block").alias("_at"), of(F.col("_end")).over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_handed"))
+    inner = rows.withColumn("_before", of(F.col("_value")).over(W.partitionBy(file, "_block").orderBy(number).rowsBetween(W.unboundedPreceding, -1)))
+    joined = inner.join(handed, inner[file].eqNullSafe(F.col("_file")) & inner["_block"].eqNullSafe(F.col("_at")), "left")
+    before = F.coalesce("_before", "_handed") if last else F.greatest("_before", "_handed")
+    return joined.select(*[inner[c] for c in lines.columns], "_value", before.alias("before"))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    key, before = F.col("_value"), F.col("before")
+    status = F.when(key.isNull(), "invalid").when(before.isNull() | (key > before), "ok").when(key == before, "duplicate").otherwise("out_of_order")
+    return rows.withColumn("status", status).drop("_value")
+
+
 def order_report(lines: DataFrame, file: str, number: str, name: str) -> DataFrame:
-    """Each line with before (order key of the line before it) and status: ok, duplicate, out_of_order or invalid.
+    """Each line with before (order key of the last digest before it) and status: ok, duplicate, out_of_order or invalid.
 
     The cursor moves on with every valid digest, as in a plain check of a file.
     """
-    key = digest.order_key(F.col(name))
-    before = F.last(key, ignorenulls=True).over(W.partitionBy(file).orderBy(number).rowsBetween(W.unboundedPreceding, -1))
-    status = F.when(key.isNull(), "invalid").when(F.col("before").isNull() | (key > F.col("before")), "ok").when(key == F.col("before"), "duplicate").otherwise("out_of_order")
-    return lines.withColumn("before", before).withColumn("status", status)
+    return _ordered(_running(lines, file, number, digest.order_key(F.col(name)), last=True))
 
 
 def accepted_order_report(lines: DataFrame, file: str, number: str, name: str, verified: Column) -> DataFrame:
     """As order_report, but the cursor moves on with accepted lines only: it is the greatest verified digest so far."""
-    key = F.when(verified, digest.order_key(F.col(name)))
-    before = F.max(key).over(W.partitionBy(file).orderBy(number).rowsBetween(W.unboundedPreceding, -1))
-    status = F.when(key.isNull(), "invalid").when(F.col("before").isNull() | (key > F.col("before")), "ok").when(key == F.col("before"), "duplicate").otherwise("out_of_order")
-    return lines.withColumn("before", before).withColumn("status", status)
+    return _ordered(_running(lines, file, number, F.when(verified, digest.order_key(F.col(name))), last=False))
 
 
 def upsert(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairn.functions import cdx, digest, snapshot, times
@@ -306,8 +305,7 @@ def g4_g5_file_report(s, d):
 @query(f"{_KEYED}, b AS (SELECT *, lag(digest) OVER (PARTITION BY file_name ORDER BY line_no) AS before FROM k WHERE good) SELECT line_id, digest FROM b WHERE before IS NULL OR before <> digest")
 def snk1_g6_written_lines(s, d):
     t = lines(s, d).withColumn("digest", snapshot.parse(c("line"))["digest"]).where("digest is not null")
-    before = F.lag("digest").over(W.partitionBy("file_name").orderBy("line_no"))
-    return t.withColumn("before", before).where("before is null or before <> digest").select("line_id", "digest")
+    return archive.order_report(t, "file_name", "line_no", "digest").where("status <> 'duplicate'").select("line_id", "digest")
 
 
 @query("SELECT digest, min(snap_id) AS snap_id FROM snapshots GROUP BY 1")

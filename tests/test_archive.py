@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import digest
@@ -40,7 +41,9 @@ def test_merges(spark):
     assert [r for r in got if r[2] == "new"] == [("first", "N1", "new"), ("second", "N2", "new"), ("skip", "N3", "new")] and len(got) == 11
 
 
-def test_orders(spark):
+@pytest.mark.parametrize("block", [2, 3, 100_000])
+def test_orders(spark, monkeypatch, block):
+    monkeypatch.setattr(archive, "BLOCK", block)
     keys = [A, A, C, B, None, D, B]
     df = spark.createDataFrame([("f", i, k, k != D) for i, k in enumerate(keys)], "file string, n int, name string, good boolean")
     ok = lambda prev, k: "ok" if prev is None or digest_order(k) > digest_order(prev) else "duplicate" if k == prev else "out_of_order"
