@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,7 @@ def print_size(longer: int) -> int:
     return 4 if longer >= 20 else 3 if longer >= 10 else 2
 
 
+@lru_cache(maxsize=1 << 14)
 def least_shared(words: int, k: int) -> int:
     """The fingerprints of k words that a text shares at least with any near text, where the pair's longer one uses k."""
     return min((n - k + 1 - k * edits_allowed(n) for n in range(words, words * 5 // 4 + 1) if print_size(n) == k), default=1)
@@ -73,21 +75,26 @@ def fingerprints(words: list[str]) -> list[tuple[int, int, int]]:
     n = len(words)
     out = []
     for k in {print_size(m) for m in {n, *range(n, n * 5 // 4 + 1)}}:
-        seen: Counter[str] = Counter()
+        seen: dict[str, int] = {}
         prints = []
         for i in range(n - k + 1):
             gram = "\0".join(words[i : i + k])
-            prints.append(xxhash.xxh64_intdigest(gram, seed=(k << 20) + seen[gram]) >> 1)
-            seen[gram] += 1
+            at = seen[gram] = seen.get(gram, -1) + 1
+            prints.append(xxhash.xxh64_intdigest(gram, seed=(k << 20) + at) >> 1)
         keep = len(prints) - max(1, least_shared(n, k)) + 1
         out += [(k, p, keep) for p in prints]
     return out
 
 
+@lru_cache(maxsize=1 << 17)
+def _word_bit(word: str) -> int:
+    return 1 << (xxhash.xxh64_intdigest(word, seed=7) & 127)
+
+
 def word_map(words: list[str]) -> tuple[int, int]:
     bits = 0
-    for w in set(words):
-        bits |= 1 << (xxhash.xxh64_intdigest(w, seed=7) & 127)
+    for w in words:
+        bits |= _word_bit(w)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     return signed(bits & ((1 << 64) - 1)), signed(bits >> 64)
 
@@ -123,7 +130,7 @@ def features(df: DataFrame, counts: bytes) -> DataFrame:
     broadcast = df.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(broadcast.value, dtype=np.int64)
+        table = np.frombuffer(broadcast.value, dtype=np.int64).tolist()
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for content in batch.column(2).to_pylist():
@@ -132,8 +139,8 @@ def features(df: DataFrame, counts: bytes) -> DataFrame:
                     row = (None, None, None, None, None, None)
                 else:
                     norm = " ".join(words)
-                    prints = sorted((int(table[p & ((1 << COUNT_BITS) - 1)]), p, k, keep) for k, p, keep in fingerprints(words))
-                    left: Counter[int] = Counter()
+                    prints = sorted((table[p & ((1 << COUNT_BITS) - 1)], p, k, keep) for k, p, keep in fingerprints(words))
+                    left = {2: 0, 3: 0, 4: 0}
                     chosen = []
                     for _, p, k, keep in prints:
                         left[k] += 1
@@ -162,8 +169,8 @@ def print_counts(df: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["at", "n"])
 
     out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for r in df.select("content").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # 2^18 rows at most
-        out[r.at] = r.n
+    found = df.select("content").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2^18 rows at most
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out.tobytes()
 
 

@@ -114,8 +114,8 @@ def _bitmap(items: DataFrame) -> bytes:
     bit = F.shiftright("item", 7).bitwiseAND((1 << FILTER_BITS) - 1)
     words = items.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("bits"))
     out = np.zeros(1 << (FILTER_BITS - 5), dtype=np.uint32)
-    for r in words.collect():  # at most 2^19 small rows, whatever the corpus
-        out[r.word] = r.bits
+    found = words.toArrow()  # at most 2^19 small rows, whatever the corpus
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.tobytes()
 
 
