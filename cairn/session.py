@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,7 +18,25 @@ def session(master: str = "local[*]", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="cairn-code-"), "cairn.zip")  # on the driver, which serves it
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("cairn", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._cairn_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -50,4 +70,4 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-__all__ = ["session", "table", "shared_folder", "cut", "file_system", "parallelism"]
+__all__ = ["session", "ship", "table", "shared_folder", "cut", "file_system", "parallelism"]
