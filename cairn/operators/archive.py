@@ -127,6 +127,22 @@ def order_report(lines: DataFrame, file: str, number: str, name: str) -> DataFra
     return _ordered(_running(lines, file, number, digest.order_key(F.col(name)), last=True))
 
 
+LINE_START = r'\A\{"digest":"([A-Z2-7]{32})'
+
+
+def merge_errors(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(side, line_number, reason, digest, line) of each line that may not stand in a merge input (line_number, line).
+
+    A line must start with its digest (else invalid_line, shown with the line); the digest must be greater than that of
+    the last such line before it (else duplicate or out_of_order). Nothing is left out; a strict merge of a side ends
+    at its least line number here, and none is to be published.
+    """
+    sides = [df.select(F.lit(side).alias("side"), "line_number", "line", F.nullif(F.regexp_extract("line", LINE_START, 1), F.lit("")).alias("digest")) for df, side in ((first, "first"), (second, "second"))]
+    t = order_report(sides[0].unionByName(sides[1]), "side", "line_number", "digest").where("status <> 'ok'")
+    invalid = F.col("status") == "invalid"
+    return t.select("side", "line_number", F.when(invalid, "invalid_line").otherwise(F.col("status")).alias("reason"), "digest", F.when(invalid, F.col("line")).alias("line"))
+
+
 def accepted_order_report(lines: DataFrame, file: str, number: str, name: str, verified: Column) -> DataFrame:
     """As order_report, but the cursor moves on with accepted lines only: it is the greatest verified digest so far."""
     return _ordered(_running(lines, file, number, F.when(verified, digest.order_key(F.col(name))), last=False))

@@ -92,6 +92,19 @@ def j3_merge_errors(s, d):
     return lines(s, d).where(bad).select("line_id", bad.alias("bad_start"))
 
 
+_SIDES = " UNION ALL ".join(f"SELECT '{x}' AS side, {x}_line_number AS line_number, {x}_value AS line FROM merge_{x}" for x in ("first", "second"))
+
+
+@query(
+    f"WITH s AS ({_SIDES}), e AS (SELECT *, nullif(regexp_extract(line, '^\\{{\"digest\":\"([A-Z2-7]{{32}})', 1), '') AS digest FROM s), k AS (SELECT *, {q.order_key('digest')} AS k FROM e), "
+    "b AS (SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY side ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k) "
+    "SELECT side, line_number, CASE WHEN k IS NULL THEN 'invalid_line' WHEN k = before THEN 'duplicate' ELSE 'out_of_order' END AS reason, digest, CASE WHEN k IS NULL THEN line END AS line FROM b WHERE k IS NULL OR k <= before"
+)
+def j3_g5_merge_input_errors(s, d):
+    sides = [table(s, d, f"merge_{x}").select(c(f"{x}_line_number").alias("line_number"), c(f"{x}_value").alias("line")) for x in ("first", "second")]
+    return archive.merge_errors(*sides)
+
+
 _DUAL = (
     f"WITH {q.FIRST}, {q.SECOND}, new AS (SELECT DISTINCT digest, CASE WHEN min(content) LIKE '{{\"data\":{{%' THEN 'first' WHEN min(content) LIKE '{{\"data\":[%' THEN 'second' ELSE 'skip' END AS target FROM snapshots GROUP BY digest), "
     "m AS (SELECT 'first' AS target, digest, 'existing' AS origin FROM first UNION ALL SELECT 'second', digest, 'existing' FROM second UNION ALL SELECT target, digest, 'new' FROM new WHERE digest NOT IN (SELECT digest FROM first UNION ALL SELECT digest FROM second))"

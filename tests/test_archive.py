@@ -62,6 +62,19 @@ def test_orders(spark, monkeypatch, block):
     assert archive.order_report(df.limit(0), "file", "n", "name").count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_merge_errors(spark, monkeypatch, block):
+    monkeypatch.setattr(archive, "BLOCK", block)
+    start = '{"digest":"%s","content":1}'
+    lines = [start % A, ' {"digest":"%s"}' % B, start % A, start % D, start % C, start % B, "", None, '{"digest": "%s"}' % D, '{"digest":"%s"}' % D.lower()]
+    first = spark.createDataFrame([(i, x) for i, x in enumerate(lines, 1)], "line_number bigint, line string")
+    second = spark.createDataFrame([(1, start % A), (2, start % C), (3, start % C)], "line_number bigint, line string")
+    got = rows(archive.merge_errors(first, second))
+    invalid = [("first", i, "invalid_line", None, lines[i - 1]) for i in (2, 7, 8, 9, 10)]
+    assert got == sorted([*invalid, ("first", 3, "duplicate", A, None), ("first", 5, "out_of_order", C, None), ("second", 3, "duplicate", C, None)], key=str)
+    assert archive.merge_errors(second.limit(2), second.limit(0)).count() == 0
+
+
 def test_state(spark):
     df = spark.createDataFrame([("k", 1, 1, "a"), ("k", 2, 1, "b"), ("l", 1, None, None)], "key string, seen int, id int, value string").withColumn("o", F.col("seen"))
     assert rows(archive.upsert(df, ["key"], [F.col("o")]).select("key", "value")) == [("k", "b"), ("l", None)]
