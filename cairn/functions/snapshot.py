@@ -20,7 +20,7 @@ CANDIDATES = ("\n", "\r\n", "\r\r\n")
 def parse(line: Column) -> Column:
     """A struct of the six fields of a canonical line, all text, absent ones null; null for any other line."""
     field = lambda i: F.nullif(F.regexp_extract(line, LINE, i), F.lit("")) if i in (2, 3, 5) else F.regexp_extract(line, LINE, i)
-    url = F.when(F.instr(F.substring_index(line, '"content":', 1), '"url":"') > 0, field(4))
+    url = F.when(F.instr(F.substring_index(F.substring_index(line, '"content":', 1), '"format":', 1), '"url":"') > 0, field(4))
     return F.when(line.rlike(LINE), F.struct(*[(url if p == "url" else field(i)).alias(p) for i, p in enumerate(PARTS, 1)]))
 
 

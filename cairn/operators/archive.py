@@ -194,3 +194,24 @@ def snapshot_state(lines: DataFrame, default: str) -> DataFrame:
     parsed = lines.withColumn("parsed", snapshot.parse(F.col("line")))
     told = snapshot.verify(F.col("parsed.digest"), F.col("parsed.content"), F.col("parsed.format"), default)
     return parsed.withColumn("state", F.when(F.col("parsed").isNull() | (F.col("parsed.timestamp").isNotNull() & ~times.is_real(F.col("parsed.timestamp"))), "invalid_line").otherwise(told))
+
+
+def check_report(lines: DataFrame, file: str, number: str, default: str = "\n") -> DataFrame:
+    """Each line (file, number, line) that isn't empty with all that a check says of it.
+
+    state and status as in snapshot_state and order_report; missing_timestamp, url_without_timestamp,
+    redundant_expected_digest (it is the digest itself) and redundant_url (it would be inferred from the content), beside
+    whatever the state is. Of a line that can't be read (invalid_line, closing_whitespace) nothing else is told, and it
+    doesn't move the order's cursor.
+    """
+    t = snapshot_state(lines.where("line <> ''"), default)
+    p = {x: F.when(~F.col("state").isin("invalid_line", "closing_whitespace"), F.col(f"parsed.{x}")) for x in snapshot.PARTS}
+    read, no_time = p["digest"].isNotNull(), p["timestamp"].isNull()
+    found = {
+        "missing_timestamp": read & no_time,
+        "url_without_timestamp": read & no_time & p["url"].isNotNull(),
+        "redundant_expected_digest": F.coalesce(p["expected_digest"] == p["digest"], F.lit(False)),
+        "redundant_url": F.coalesce(F.when(p["url"].isNotNull(), snapshot.inferred_url(p["content"]) == p["url"]), F.lit(False)),
+    }
+    told = t.select(*lines.columns, "state", p["digest"].alias("digest"), *[v.alias(k) for k, v in found.items()])
+    return order_report(told, file, number, "digest").drop("digest", "before")

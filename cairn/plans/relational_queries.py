@@ -295,6 +295,21 @@ def g1_l4_check_order(s, d):
     return archive.order_report(t, "file_name", "line_no", "digest").select("line_id", "status")
 
 
+@query(
+    f"{_KEYED}, v AS (SELECT *, contains(split_part(split_part(line, '\"content\":', 1), '\"format\":', 1), '\"url\":\"') AS has_url, CASE WHEN json_valid(content) THEN content::JSON END AS j, "
+    f"CASE WHEN NOT good OR (timestamp <> '' AND NOT {q.real('timestamp')}) THEN 'invalid_line' ELSE {q.verify('digest', 'content', 'format', 'chr(10)')} END AS state FROM k WHERE line <> ''), "
+    "r AS (SELECT *, state NOT IN ('invalid_line', 'closing_whitespace') AS read, CASE WHEN state NOT IN ('invalid_line', 'closing_whitespace') THEN k END AS own, "
+    "CASE WHEN json_type(j, '$.data') IS NOT NULL THEN CASE WHEN json_type(j, '$.data.id') = 'VARCHAR' AND json_type(j, '$.data.author_id') = 'VARCHAR' THEN 'https://twitter.com/' || "
+    "(list_filter(from_json(j->'$.includes.users', '[{\"id\":\"VARCHAR\",\"username\":\"VARCHAR\"}]'), lambda x: x.id = (j->>'$.data.author_id'))[1]).username || '/status/' || (j->>'$.data.id') END "
+    "WHEN json_type(j, '$.user.screen_name') = 'VARCHAR' AND json_type(j, '$.id_str') = 'VARCHAR' THEN 'https://twitter.com/' || (j->>'$.user.screen_name') || '/status/' || (j->>'$.id_str') END AS inferred FROM v), "
+    "b AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) "
+    "SELECT line_id, state, CASE WHEN own IS NULL THEN 'invalid' WHEN before IS NULL OR own > before THEN 'ok' WHEN own = before THEN 'duplicate' ELSE 'out_of_order' END AS status, read AND timestamp = '' AS missing_timestamp, read AND timestamp = '' AND has_url AS url_without_timestamp, "
+    "read AND expected_digest = digest AS redundant_expected_digest, coalesce(read AND has_url AND inferred = url, false) AS redundant_url FROM b"
+)
+def g1_l4_check_report(s, d):
+    return archive.check_report(lines(s, d), "file_name", "line_no").drop("file_name", "line_no", "line")
+
+
 _ACCEPTED = f"{_KEYED}, v AS (SELECT *, CASE WHEN good THEN {q.verify('digest', 'content', 'format', 'chr(10)')} END AS state FROM k), b AS (SELECT *, max(CASE WHEN state = 'ok' THEN k END) OVER (PARTITION BY file_name ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v)"
 
 

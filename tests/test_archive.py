@@ -75,6 +75,39 @@ def test_merge_errors(spark, monkeypatch, block):
     assert archive.merge_errors(second.limit(2), second.limit(0)).count() == 0
 
 
+def test_check_report(spark):
+    def line(content, extra="", name=None, space="\n"):
+        made = __import__("base64").b32encode(__import__("hashlib").sha1((content + space).encode()).digest()).decode()
+        return '{"digest":"%s",%s"content":%s}' % (name or made, extra.replace("SAME", made), content)
+
+    time, flat = '"timestamp":"20200101000000",', '{"user":{"screen_name":"n"},"id_str":"7"}'
+    data = '{"data":{"id":"5","author_id":"1"},"includes":{"users":[{"id":"2","username":"m"},{"id":"1","username":"n"}]}}'
+    cases = [
+        (line("1", time), "ok", []),
+        (line("2"), "ok", ["missing_timestamp"]),
+        (line("3", '"url":"http://u",'), "ok", ["missing_timestamp", "url_without_timestamp"]),
+        (line("4", '"url":"",'), "ok", ["missing_timestamp", "url_without_timestamp"]),
+        (line("5", '"format":{"url":"x"},'), "ok", ["missing_timestamp"]),
+        (line("6", '"expected_digest":"SAME",' + time), "ok", ["redundant_expected_digest"]),
+        (line("7", f'"expected_digest":"{A}",' + time), "ok", []),
+        (line("8", f'"expected_digest":"{A}",' + time, name=A), "mismatch", ["redundant_expected_digest"]),
+        (line(data, time + '"url":"https://twitter.com/n/status/5",'), "ok", ["redundant_url"]),
+        (line(data, time + '"url":"https://twitter.com/m/status/5",'), "ok", []),
+        (line(flat, '"url":"https://twitter.com/n/status/7",', name=B), "mismatch", ["missing_timestamp", "url_without_timestamp", "redundant_url"]),
+        (line("9", '"format":{"type":"other"},'), "unsupported_format", ["missing_timestamp"]),
+        (line("10", '"url":"u","format":{"closing_whitespace":"x"},'), "closing_whitespace", []),
+        (line("11", '"timestamp":"20201301000000","url":"u",'), "invalid_line", []),
+        ("no line", "invalid_line", []),
+    ]
+    df = spark.createDataFrame([("f", 2 * i, x) for i, (x, _, _) in enumerate(cases)] + [("f", 2 * i + 1, "") for i in range(3)], "file string, n int, line string")
+    got = archive.check_report(df, "file", "n").orderBy("n").collect()
+    kinds = ("missing_timestamp", "url_without_timestamp", "redundant_expected_digest", "redundant_url")
+    assert [(r.n, r.state, [k for k in kinds if r[k]]) for r in got] == [(2 * i, state, found) for i, (_, state, found) in enumerate(cases)]
+    bad = '{"digest":"%s","timestamp":"20201301000000","content":1}' % B  # its digest is the greatest, but it isn't read
+    df = spark.createDataFrame([("f", 1, line("1", name=A)), ("f", 2, bad), ("f", 3, line("1", name=D)), ("f", 4, line("1", name=D)), ("f", 5, line("1", name=C))], "file string, n int, line string")
+    assert [r.status for r in archive.check_report(df, "file", "n").orderBy("n").collect()] == ["ok", "invalid", "ok", "duplicate", "out_of_order"]
+
+
 def test_state(spark):
     df = spark.createDataFrame([("k", 1, 1, "a"), ("k", 2, 1, "b"), ("l", 1, None, None)], "key string, seen int, id int, value string").withColumn("o", F.col("seen"))
     assert rows(archive.upsert(df, ["key"], [F.col("o")]).select("key", "value")) == [("k", "b"), ("l", None)]
