@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,31 +50,40 @@ def line_fields(line: Column, fields: Sequence[str], digested: bool = False) ->
 
 
 def compare_copies(first: DataFrame, second: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Rows missing on either side and the fields that differ, from a null-safe full outer join on the key.
+    """Rows missing on either side and the fields that differ, matched null-safely on the key.
 
     Columns: the key; side ('first' or 'second' for keys of that copy only, else 'both'); differences, an array of (field,
     first, second). Keys on both sides without a difference are left out. The fields are compared null-safely as they
-    are: bring them to a normal form first. A key repeated within a copy counts once; should its rows there disagree,
-    the copies differ in a field if its least or its greatest values differ, and these are what is shown. Null keys
-    match each other. Each copy is pre-aggregated by key, so that a key with very many rows shuffles as few.
-    """
+    are: bring them to a normal form first. Null keys match each other.
 
-    def reduced(df: DataFrame, name: str) -> DataFrame:
-        least = [F.min(df[f].cast("string")).alias(f"{name}_least_{i}") for i, f in enumerate(fields)]
-        most = [F.max(df[f].cast("string")).alias(f"{name}_most_{i}") for i, f in enumerate(fields)]
-        holes = [F.max(df[f].isNull()).alias(f"{name}_hole_{i}") for i, f in enumerate(fields)]
-        return df.groupBy(df[key].alias(f"{name}_key")).agg(*least, *most, *holes, F.lit(True).alias(f"{name}_there"))
-
-    a, b = reduced(first, "a"), reduced(second, "b")
-    both = a.join(b, F.col("a_key").eqNullSafe(F.col("b_key")), "full_outer")
-    pairs = []
-    for i, field in enumerate(fields):
-        same = F.col(f"a_least_{i}").eqNullSafe(F.col(f"b_least_{i}")) & F.col(f"a_most_{i}").eqNullSafe(F.col(f"b_most_{i}")) & (F.col(f"a_hole_{i}") == F.col(f"b_hole_{i}"))
-        at = F.when(F.col(f"a_least_{i}").eqNullSafe(F.col(f"b_least_{i}")), F.struct(F.lit(field).alias("field"), F.col(f"a_most_{i}").alias("first"), F.col(f"b_most_{i}").alias("second")))
-        pairs.append(F.when(~same, at.otherwise(F.struct(F.lit(field).alias("field"), F.col(f"a_least_{i}").alias("first"), F.col(f"b_least_{i}").alias("second")))))
-    side = F.when(F.col("b_there").isNull(), "first").when(F.col("a_there").isNull(), "second").otherwise("both")
-    told = both.select(F.coalesce("a_key", "b_key").alias(key), side.alias("side"), F.array_compact(F.array(*pairs)).alias("differences"))
-    return told.select(key, "side", F.when(F.col("side") == "both", F.col("differences")).otherwise(F.array().cast(f"array<{PAIR}>")).alias("differences")).where((F.col("side") != "both") | (F.size("differences") > 0))
+    A key may have several rows in a copy; equal rows count once, and the sets of rows are compared, whatever their
+    number. A field differs if its set of values does; shown is the least value that only that copy has, or its least
+    value if it has none of its own. Should no field's values differ but the rows do (the same values, combined in
+    another way), the fields differ that vary among the rows of one copy only, shown with the least values.
+    All steps are partial aggregates by key and row or value, so that a key with very many rows is spread over tasks.
+    """
+    sides = [df.select(df[key].alias("k"), *[df[f].cast("string").alias(f"f{i}") for i, f in enumerate(fields)], F.lit(n == 0).alias("a"), F.lit(n == 1).alias("b")) for n, df in enumerate((first, second))]
+    there = [F.max(x).alias(x) for x in ("a", "b")]
+    rows = sides[0].unionByName(sides[1]).groupBy("k", *[f"f{i}" for i in range(len(fields))]).agg(*there)
+    each = rows.select("k", "a", "b", (F.col("a") != F.col("b")).alias("lone"), F.posexplode(F.array(*[f"f{i}" for i in range(len(fields))])).alias("i", "value"))
+    values = each.groupBy("k", "i", "value").agg(*there, F.max("lone").alias("lone"))
+
+    told = list(there)
+    for i in range(len(fields)):
+        at = F.col("i") == i
+        told.append(F.count_if(at & F.col("lone")).alias(f"lone_{i}"))
+        for x, y in (("a", "b"), ("b", "a")):
+            own = at & F.col(x) & ~F.col(y)
+            told += [F.count_if(own).alias(f"{x}_owns_{i}"), F.min(F.when(own, F.col("value"))).alias(f"{x}_own_{i}"), F.min(F.when(at & F.col(x), F.col("value"))).alias(f"{x}_least_{i}")]
+    keys = values.groupBy("k").agg(*told)
+
+    differ = [(F.col(f"a_owns_{i}") + F.col(f"b_owns_{i}")) > 0 for i in range(len(fields))]
+    any_differs = reduce(or_, differ)
+    shown = lambda x, i: F.when(F.col(f"{x}_owns_{i}") > 0, F.col(f"{x}_own_{i}")).otherwise(F.col(f"{x}_least_{i}"))
+    pairs = [F.when(differ[i] | (~any_differs & (F.col(f"lone_{i}") > 1)), F.struct(F.lit(f).alias("field"), shown("a", i).alias("first"), shown("b", i).alias("second"))) for i, f in enumerate(fields)]
+    side = F.when(~F.col("b"), "first").when(~F.col("a"), "second").otherwise("both")
+    out = keys.select(F.col("k").alias(key), side.alias("side"), F.when(F.col("a") & F.col("b"), F.array_compact(F.array(*pairs))).otherwise(F.array().cast(f"array<{PAIR}>")).alias("differences"))
+    return out.where((F.col("side") != "both") | (F.size("differences") > 0))
 
 
 def found_differences(differences: DataFrame, key: str) -> DataFrame:

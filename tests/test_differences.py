@@ -47,3 +47,20 @@ def test_empty_copies_and_disagreeing_rows(spark):
     assert compared(spark, some, some[::-1]).count() == 0
     got = compared(spark, some, some[:1]).collect()
     assert [(d.field, d.first, d.second) for d in got[0].differences] == [("url", '"b"', '"a"')]
+
+
+def test_sets_of_rows(spark):
+    def row(url, content):
+        return ("A", json.dumps({"url": url, "content": content}))
+
+    def told(first, second):
+        return [[tuple(d) for d in r.differences] for r in compared(spark, first, second).collect()]
+
+    a, b, c = row("a", 1), row("b", 1), row("c", 1)
+    assert told([a, b, c], [a, c, a]) == [[("url", '"b"', '"a"')]] and told([a, c], [a, b, c]) == [[("url", '"a"', '"b"')]]
+    crossed = told([row("x", 1), row("y", 2)], [row("x", 2), row("y", 1)])
+    assert [[d[0] for d in ds] for ds in crossed] == [["url", "content"]]
+    assert told([row("x", 1), row("y", 2), b], [b, row("y", 2), row("x", 1), b]) == []
+    assert told([row("x", 1), row(None, 1)], [row("x", 1)]) == [[("url", None, '"x"')]]
+    many = [row(f"{i:03}", i % 7) for i in range(300)]
+    assert told(many, many[::-1]) == [] and told(many, many[:150] + many[151:]) == [[("url", '"150"', '"000"')]]
