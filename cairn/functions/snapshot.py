@@ -1,27 +1,58 @@
-"""Snapshot lines: exact parsing and rendering, closing white space, verification. JVM-side expressions."""
+"""Snapshot lines: exact parsing and rendering, closing white space, verification. JVM-side expressions, but for nested formats."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cairn.functions import digest
+from cairn.functions import digest, jsontext
 
-#: The canonical line; format objects may hold no object of their own (others take the quarantine's parser).
+#: The canonical line whose format holds no object of its own.
 LINE = (
     r'(?s)\A\{"digest":"([A-Z2-7]{32})","(?:expected_digest":"([^"]{32})",")?(?:timestamp":"([0-9]{14})",")?(?:url":"([^"\\]*+)",")?'
     r'(?:format":(\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\}),")?content":(.*)\}\z'
 )
+#: The start of any canonical line with a format; all from the format on is its fifth group.
+FORMATTED = r'(?s)\A\{"digest":"([A-Z2-7]{32})","(?:expected_digest":"([^"]{32})",")?(?:timestamp":"([0-9]{14})",")?(?:url":"([^"\\]*+)",")?format":(\{.*\})\z'
 PARTS = ("digest", "expected_digest", "timestamp", "url", "format", "content")
+CONTENT = ',"content":'
 WHITESPACE = r"[\r\n \t]*\z"
 CANDIDATES = ("\n", "\r\n", "\r\r\n")
 
 
+def _nested(rests: pd.Series) -> pd.DataFrame:
+    """The format and content of lines from the format on, which may be nested to any depth; nulls if they don't fit."""
+    out = []
+    for rest in rests:
+        pair = (None, None)
+        if isinstance(rest, str):
+            try:
+                form, end = jsontext.value_at(rest, 0)
+                if rest.startswith(CONTENT, end) and not any(isinstance(form.get(k), (dict, list)) for k in ("type", "closing_whitespace")):
+                    pair = (rest[:end], rest[end + len(CONTENT) : -1])
+            except ValueError:
+                pass
+        out.append(pair)
+    return pd.DataFrame(out, columns=["format", "content"], dtype=object)
+
+
 def parse(line: Column) -> Column:
-    """A struct of the six fields of a canonical line, all text, absent ones null; null for any other line."""
-    field = lambda i: F.nullif(F.regexp_extract(line, LINE, i), F.lit("")) if i in (2, 3, 5) else F.regexp_extract(line, LINE, i)
-    url = F.when(F.instr(F.substring_index(F.substring_index(line, '"content":', 1), '"format":', 1), '"url":"') > 0, field(4))
-    return F.when(line.rlike(LINE), F.struct(*[(url if p == "url" else field(i)).alias(p) for i, p in enumerate(PARTS, 1)]))
+    """A struct of the six fields of a canonical line, all text, absent ones null; null for any other line.
+
+    Only lines with an object within their format are read in Python, for all others it gets nulls.
+    """
+    plain = line.rlike(LINE)
+    rest = F.when(~plain & line.rlike(FORMATTED), F.regexp_extract(line, FORMATTED, 5))
+    has_url = F.instr(F.substring_index(F.substring_index(line, CONTENT[1:], 1), '"format":', 1), '"url":"') > 0
+
+    def fields(pattern: str) -> dict[str, Column]:
+        group = {p: F.regexp_extract(line, pattern, i) for i, p in enumerate(PARTS[: 6 if pattern == LINE else 4], 1)}
+        return group | {p: F.nullif(group[p], F.lit("")) for p in ("expected_digest", "timestamp", "format") if p in group} | {"url": F.when(has_url, group["url"])}
+
+    struct = lambda f: F.struct(*[f[p].alias(p) for p in PARTS])
+    nested = F.pandas_udf(_nested, "struct<format:string,content:string>")(rest)
+    return F.when(plain, struct(fields(LINE))).when(nested["format"].isNotNull(), struct(fields(FORMATTED) | {"format": nested["format"], "content": nested["content"]}))
 
 
 def closing_whitespace(text: Column, default: str) -> Column:

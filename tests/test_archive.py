@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import digest
+from cairn.functions import digest, snapshot
 from cairn.operators import archive
 
 A, B, C, D = ("A" * 31 + x for x in "A2BC")
@@ -108,6 +108,22 @@ def test_check_report(spark):
     assert [r.status for r in archive.check_report(df, "file", "n").orderBy("n").collect()] == ["ok", "invalid", "ok", "duplicate", "out_of_order"]
 
 
+def test_nested_formats(spark):
+    def line(form, content="{}", extra=""):
+        return '{"digest":"%s",%s"format":%s,"content":%s}' % (A, extra, form, content)
+
+    deep = '{"type":"x","meta":' + '{"a":[' * 3000 + "1" + "]}" * 3000 + "}"
+    tricky = '{"m":{"s":"},\\"content\\":{\\\\","url":"no"}, "n":[{}]}'
+    good = [(tricky, '{"a":{},"content":{"content":1}}', ""), (deep, "1", ""), ('{"m":{}}', "", '"expected_digest":"%s","timestamp":"20200101000000","url":"",' % B), ('{"closing_whitespace":"\\r\\n","m":{"x":1}}', "1", '"url":"http://u",')]
+    bad = [line('{"m":{"x":1}'), line('{"m":{"x":01}}'), line('{"m":{}}}'), line('{"m":{}},"extra":1'), line('{"type":{"x":1}}'), line('{"m":{}}', "1")[:-1], '{"digest":"%s","format":{"m":{}}}' % A, None, ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([line(f, c, e) for f, c, e in good] + bad)], "n int, line string")
+    got = [r.p for r in df.select("n", snapshot.parse(F.col("line")).alias("p")).orderBy("n").collect()]
+    assert [(p.digest, p.format, p.content) for p in got[: len(good)]] == [(A, f, c) for f, c, _ in good] and got[len(good) :] == [None] * len(bad)
+    assert [(p.expected_digest, p.timestamp, p.url) for p in got[: len(good)]] == [(None, None, None), (None, None, None), (B, "20200101000000", ""), (None, None, "http://u")]
+    files = spark.createDataFrame([("f", 1, line(good[0][0])), ("f", 2, line('{"type":"x","m":{}}'))], "file string, n int, line string")
+    assert [(r.state, r.status) for r in archive.check_report(files, "file", "n").orderBy("n").collect()] == [("mismatch", "ok"), ("unsupported_format", "duplicate")]
+
+
 def test_state(spark):
     df = spark.createDataFrame([("k", 1, 1, "a"), ("k", 2, 1, "b"), ("l", 1, None, None)], "key string, seen int, id int, value string").withColumn("o", F.col("seen"))
     assert rows(archive.upsert(df, ["key"], [F.col("o")]).select("key", "value")) == [("k", "b"), ("l", None)]
