@@ -12,7 +12,7 @@ from cairn.session import table
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "resolutions")
     group, usable = survivors.resolution_fields(df)
-    return survivors.field_rows(survivors.survivors(df, group, "res_id", usable, "trust", "seen_at"), "digest", "res_id", list(usable))
+    return survivors.survivors(df, group, "res_id", usable, "trust", "seen_at").selectExpr("group as digest", "field", "row as res_id")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
