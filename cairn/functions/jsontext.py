@@ -132,14 +132,30 @@ def number_key(number: str) -> str:
     mantissa, _, exponent = number.lower().partition("e")
     sign, mantissa = ("-", mantissa[1:]) if mantissa[0] == "-" else ("", mantissa)
     whole, _, part = mantissa.partition(".")
-    power, digits = _exponent(exponent) - len(part), (whole + part).lstrip("0")
+    digits = (whole + part).lstrip("0")
     bare = digits.rstrip("0")
-    return f"{sign}{bare}e{power + len(digits) - len(bare)}" if bare else "0"
-
-
-def _exponent(text: str) -> int:
-    """An exponent, cut to a size that Python converts; beyond it numbers of the same sign of exponent are alike."""
-    return int(text[:4000] or 0)
+    return f"{sign}{bare}e{_exponent(exponent, len(digits) - len(bare) - len(part))}" if bare else "0"
+
+
+def _exponent(text: str, shift: int) -> str:
+    """An exponent of any length plus a shift, as text; beyond what Python converts at once by its last digits and a carry."""
+    sign, digits = ("-" if text[:1] == "-" else ""), text.lstrip("+-").lstrip("0")
+    if len(digits) < 4000:
+        return str(int(f"{sign}{digits or 0}") + shift)
+    low = int(digits[-1000:]) + (-shift if sign else shift)  # a shift has far fewer digits
+    if 0 <= low < 10**1000:
+        return f"{sign}{digits[:-1000]}{low:01000}"
+    carry, low = divmod(low, 10**1000)
+    high = list(digits[:-1000])
+    at = len(high) - 1
+    turn, ends = ("9", "0") if carry > 0 else ("0", "9")
+    while at >= 0 and high[at] == turn:
+        high[at], at = ends, at - 1
+    if at < 0:
+        high.insert(0, "1")
+    else:
+        high[at] = str(int(high[at]) + carry)
+    return f"{sign}{''.join(high).lstrip('0')}{low:01000}"
 
 
 _QUOTE = json.encoder.encode_basestring_ascii

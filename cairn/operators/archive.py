@@ -10,10 +10,21 @@ from cairn.functions import digest, snapshot, times
 
 
 
-def captures_by_digest(captures: DataFrame) -> DataFrame:
-    """(digest, captures): the distinct (ts, url) of each digest, in order. Rows without a digest or time are left out."""
-    rows = captures.where("digest is not null and ts is not null")
-    return rows.groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("ts", "url"))).alias("captures"))
+def distinct_captures(captures: DataFrame) -> DataFrame:
+    """The distinct (digest, ts, url) of captures. Rows without a digest or time are left out."""
+    return captures.where("digest is not null and ts is not null").select("digest", "ts", "url").distinct()
+
+
+def captures_by_digest(captures: DataFrame, most: int = 10_000) -> DataFrame:
+    """(digest, n, captures): how many distinct (ts, url) each digest has, and these in order.
+
+    A digest of more than most (an empty body may have a third of a crawl) has null captures: its rows are those of
+    distinct_captures, as a cell doesn't hold them.
+    """
+    rows = distinct_captures(captures)
+    sizes = rows.groupBy("digest").agg(F.count("*").alias("n"))
+    lists = rows.join(sizes.where(F.col("n") <= most), "digest", "left_semi").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("ts", "url"))).alias("captures"))
+    return sizes.join(lists, "digest", "left")
 
 
 def earliest_captures(captures: DataFrame) -> DataFrame:
@@ -21,8 +32,7 @@ def earliest_captures(captures: DataFrame) -> DataFrame:
 
     Two partial aggregations; no digest's captures are gathered in one place.
     """
-    distinct = captures.where("digest is not null and ts is not null").select("digest", "ts", "url").distinct()
-    best = distinct.groupBy("digest").agg(F.min(F.struct("ts", "url")).alias("first"), (F.count("*") - 1).alias("others"))
+    best = distinct_captures(captures).groupBy("digest").agg(F.min(F.struct("ts", "url")).alias("first"), (F.count("*") - 1).alias("others"))
     return best.select("digest", "first.ts", "first.url", "others")
 
 
@@ -37,15 +47,34 @@ def resolve(targets: DataFrame, captures: DataFrame, log: DataFrame) -> DataFram
     own = earliest_captures(captures.join(wanted, "digest", "left_semi"))
     left = wanted.join(own, "digest", "left_anti")
     declared = log.select(F.col("actual_digest").alias("digest"), "expected_digest").distinct().join(left, "digest", "left_semi")
-    via = declared.join(earliest_captures(captures).withColumnRenamed("digest", "expected_digest"), "expected_digest")
+    asked = captures.join(declared.select(F.col("expected_digest").alias("digest")).distinct(), "digest", "left_semi")
+    via = declared.join(earliest_captures(asked).withColumnRenamed("digest", "expected_digest"), "expected_digest")
     order = F.struct("ts", "url", digest.order_key(F.col("expected_digest")).isNull().alias("invalid"), F.coalesce(digest.order_key(F.col("expected_digest")), F.col("expected_digest")).alias("key"), "expected_digest")
     chosen = via.groupBy("digest").agg(F.min(order).alias("c"), (F.sum(F.col("others") + 1) - 1).alias("others"))
     own = own.select("digest", "ts", "url", F.lit(None).cast("string").alias("expected_digest"), "others")
     return own.unionByName(chosen.select("digest", "c.ts", "c.url", "c.expected_digest", "others"))
 
 
-def missing(targets: DataFrame, resolved: DataFrame) -> DataFrame:
-    return targets.select("digest").distinct().join(resolved, "digest", "left_anti")
+def missing(targets: DataFrame, captures: DataFrame, log: DataFrame) -> DataFrame:
+    """The target digests that resolve() finds nothing for. Only digests are joined, no capture is chosen."""
+    held = captures.where("digest is not null and ts is not null").select("digest").distinct()
+    left = targets.select("digest").distinct().join(held, "digest", "left_anti")
+    declared = log.select(F.col("actual_digest").alias("digest"), "expected_digest").distinct().join(left, "digest", "left_semi")
+    found = declared.join(held.withColumnRenamed("digest", "expected_digest"), "expected_digest", "left_semi").select("digest").distinct()
+    return left.join(found, "digest", "left_anti")
+
+
+def unused_captures(targets: DataFrame, captures: DataFrame, log: DataFrame) -> DataFrame:
+    """(digest, expected_digest, ts, url) of the captures that resolve() could have chosen and didn't, one row each.
+
+    expected_digest is null for captures under the target itself. As many rows as the others of resolve() add up to.
+    """
+    chosen = resolve(targets, captures, log).select("digest", F.col("ts").alias("ts_0"), F.col("url").alias("url_0"), F.col("expected_digest").alias("declared_0"))
+    declared = log.select(F.col("actual_digest").alias("digest"), "expected_digest").distinct().join(chosen.where("declared_0 is not null"), "digest").select("digest", "expected_digest", F.col("expected_digest").alias("under"))
+    under = declared.unionByName(chosen.where("declared_0 is null").select("digest", F.lit(None).cast("string").alias("expected_digest"), F.col("digest").alias("under")))
+    could = under.join(distinct_captures(captures).withColumnRenamed("digest", "under"), "under").select("digest", "expected_digest", "ts", "url")
+    same = F.col("expected_digest").eqNullSafe(F.col("declared_0")) & (F.col("ts") == F.col("ts_0")) & F.col("url").eqNullSafe(F.col("url_0"))
+    return could.join(chosen, "digest").where(~same).select("digest", "expected_digest", "ts", "url")
 
 
 def enhance(snapshots: DataFrame, captures: DataFrame, log: DataFrame) -> DataFrame:

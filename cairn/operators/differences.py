@@ -15,16 +15,13 @@ from cairn.functions import jsontext
 PAIR = "struct<field:string,first:string,second:string>"
 
 
-def line_fields(line: Column, fields: Sequence[str], digested: bool = False) -> Column:
+def line_fields(line: Column, fields: Sequence[str]) -> Column:
     """A struct of the fields of a line that is one JSON object, each as canonical JSON text.
 
     Ways of writing (order of names, blanks, escapes, 1 or 1.0) don't show in it; a null member is as an absent one, on
-    every level; of repeated names the last counts. digested gives the SHA-256 of long values in their place, which keeps
-    later shuffles small where only equality matters. A line that is no JSON object has its whole text under the last
-    field, marked as broken; a null line gives nulls.
+    every level; of repeated names the last counts. A line that is no JSON object has its whole text under the last field,
+    marked as broken; a null line gives nulls.
     """
-    import hashlib
-
     names = list(fields)
 
     @F.pandas_udf(f"struct<{','.join(f'`{n}`:string' for n in names)}>")
@@ -40,10 +37,7 @@ def line_fields(line: Column, fields: Sequence[str], digested: bool = False) ->
                 except ValueError:
                     value = {names[-1]: {"broken": line}}
             for n in names:
-                text = None if value.get(n) is None else jsontext.canonical(value[n])
-                if text is not None and digested and len(text) > 64:
-                    text = hashlib.sha256(text.encode()).hexdigest()
-                columns[n].append(text)
+                columns[n].append(None if value.get(n) is None else jsontext.canonical(value[n]))
         return pd.DataFrame(columns)
 
     return of(line)
@@ -92,10 +86,10 @@ def found_differences(differences: DataFrame, key: str) -> DataFrame:
     return differences.select(key, "side", F.explode(names).alias("field"))
 
 
-def copies_of_lines(first: DataFrame, second: DataFrame, key: Column, lines: Mapping[str, str], fields: Sequence[str], digested: bool = False) -> tuple[DataFrame, DataFrame]:
+def copies_of_lines(first: DataFrame, second: DataFrame, key: Column, lines: Mapping[str, str], fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The two copies as (digest, fields…), ready for compare_copies; lines names the line column of each."""
     out = []
     for df, side in ((first, "first"), (second, "second")):
-        parsed = df.select(key.alias("digest"), line_fields(df[lines[side]], fields, digested).alias("line"))
+        parsed = df.select(key.alias("digest"), line_fields(df[lines[side]], fields).alias("line"))
         out.append(parsed.select("digest", *[F.col("line")[f].alias(f) for f in fields]))
     return out[0], out[1]

@@ -46,7 +46,7 @@ FIELDS = ("expected_digest", "timestamp", "url", "format", "content")
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     first, second = table(spark, folder, "merge_first"), table(spark, folder, "merge_second")
-    copies = differences.copies_of_lines(first, second, digest.clean(F.col("digest")), {"first": "first_value", "second": "second_value"}, FIELDS, digested=True)
+    copies = differences.copies_of_lines(first, second, digest.clean(F.col("digest")), {"first": "first_value", "second": "second_value"}, FIELDS)
     return differences.found_differences(differences.compare_copies(*copies, "digest", FIELDS), "digest")
 
 

@@ -34,10 +34,15 @@ def a1_a4_earliest_capture(s, d):
     return archive.earliest_captures(cap(s, d))
 
 
-@query(f"WITH {q.CAP} SELECT digest, count(*) AS n, string_agg(ts || ' ' || url, chr(10) ORDER BY ts, url) AS captures FROM (SELECT DISTINCT digest, ts, url FROM cap WHERE digest IS NOT NULL AND ts IS NOT NULL) GROUP BY 1")
+@query(f"WITH {q.CAP} SELECT DISTINCT digest, ts, url FROM cap WHERE digest IS NOT NULL AND ts IS NOT NULL")
 def a3_j12_captures_by_digest(s, d):
-    t = archive.captures_by_digest(cap(s, d))
-    return t.select("digest", F.size("captures").cast("bigint").alias("n"), F.array_join(F.transform("captures", lambda x: F.concat(x["ts"], F.lit(" "), x["url"])), "\n").alias("captures"))
+    return archive.distinct_captures(cap(s, d))
+
+
+@query(f"WITH {q.CAP} SELECT digest, count(*) AS n, CASE WHEN count(*) <= 10 THEN string_agg(ts || ' ' || url, chr(10) ORDER BY ts, url) END AS captures FROM (SELECT DISTINCT digest, ts, url FROM cap WHERE digest IS NOT NULL AND ts IS NOT NULL) GROUP BY 1")
+def a3_j11_capture_lists(s, d):
+    t = archive.captures_by_digest(cap(s, d), most=10)
+    return t.select("digest", "n", F.array_join(F.transform("captures", lambda x: F.concat(x["ts"], F.lit(" "), x["url"])), "\n").alias("captures"))
 
 
 @query(f"{_BASE} SELECT * FROM resolved")
@@ -47,7 +52,15 @@ def j6_j7_a2_resolve(s, d):
 
 @query(f"{_BASE} SELECT digest FROM targets WHERE digest NOT IN (SELECT digest FROM resolved)")
 def j8_resolve_missing(s, d):
-    return archive.missing(targets(s, d), resolved(s, d))
+    return archive.missing(targets(s, d), cap(s, d), log(s, d))
+
+
+_COULD = "could AS (SELECT r.digest, NULL::VARCHAR AS expected_digest, k.ts, k.url, r.expected_digest AS e0, r.ts AS t0, r.url AS u0 FROM resolved r JOIN distinct_cap k USING (digest) WHERE r.expected_digest IS NULL UNION ALL SELECT r.digest, l.expected_digest, k.ts, k.url, r.expected_digest, r.ts, r.url FROM resolved r JOIN declared l USING (digest) JOIN distinct_cap k ON k.digest = l.expected_digest WHERE r.expected_digest IS NOT NULL)"
+
+
+@query(f"{_BASE}, {_COULD} SELECT digest, expected_digest, ts, url FROM could WHERE expected_digest IS DISTINCT FROM e0 OR ts IS DISTINCT FROM t0 OR url IS DISTINCT FROM u0")
+def a1_a2_snk10_unused_captures(s, d):
+    return archive.unused_captures(targets(s, d), cap(s, d), log(s, d))
 
 
 @query(f"{_BASE} SELECT digest, others FROM resolved WHERE others > 0")

@@ -43,10 +43,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below spark.checkpoint.dir, which every executor can reach.
 
-    Only where the setting is missing (tests on one machine) is a local folder chosen and remembered in the session.
+    Only on one machine (a local master) may the setting be missing: then a local folder is chosen and remembered in the
+    session. On a cluster that raises ValueError, as executors wouldn't see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cairn-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -20,7 +20,11 @@ def test_resolution(spark):
     out = archive.resolve(targets, caps, log)
     least = min((B, C), key=lambda x: __import__("base64").b32decode(x))
     assert rows(out) == sorted([(A, "1", "v", None, 2), (D, "5", "x", least, 2)], key=str)
-    assert rows(archive.missing(targets, out)) == [("none",)]
+    assert rows(archive.missing(targets, caps, log)) == [("none",)]
+    unused = rows(archive.unused_captures(targets, caps, log))
+    assert len(unused) == 4 and (A, None, "1", "w") in unused and (D, None, "5", "x") not in unused and not any(r[1] == least for r in unused)
+    big = {r.digest: (r.n, r.captures is None) for r in archive.captures_by_digest(caps, most=2).collect()}
+    assert big == {A: (3, True), B: (1, False), C: (1, False), "bad": (1, False)}
     assert archive.resolve(targets, caps.limit(0), log).count() == 0 and archive.resolve(targets.limit(0), caps, log).count() == 0
     assert [[tuple(x) for x in r.captures] for r in archive.captures_by_digest(caps).where(F.col("digest") == A).collect()] == [[("1", "v"), ("1", "w"), ("2", "u")]]
 

@@ -49,3 +49,11 @@ def test_numbers_and_nulls():
 def test_members_keep_their_text():
     line = ' { "a" : 1.0 , "b":{"x": [1 ,2]}, "a":"\\u00e9" } '
     assert [(n, t) for n, _, t in jsontext.members(line)] == [("a", "1.0"), ("b", '{"x": [1 ,2]}'), ("a", '"\\u00e9"')]
+
+
+def test_exponents_of_any_length():
+    long = "123456789" * 600
+    key = jsontext.number_key
+    assert key(f"1e{long}") == key(f"10e{int(long[-9:]) - 1:09}".replace("e", "e" + long[:-9])) != key(f"1e{long[:-1]}8")
+    assert key(f"1e-{long}") == key(f"0.1e-{long[:-1]}8") and key("1e" + "9" * 5000) == key("0.1e1" + "0" * 5000) == key("100e" + "9" * 4999 + "7")
+    assert key("1e00012") == key("10e+11") and key("0e" + long) == "0" and key("1e-" + "0" * 5000 + "3") == key("0.001")
