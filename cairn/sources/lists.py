@@ -26,8 +26,8 @@ def by_policy(df: DataFrame, policy: str, what: str) -> DataFrame:
     return df.where(told).drop("fault")
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
+def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    text = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     parsed = F.from_json("value", "array<array<string>>")
     return text.select(F.col("_metadata.file_path").alias("path"), F.unix_micros("_metadata.file_modification_time").alias("modified"), "value", parsed.alias("rows"))
 
@@ -43,12 +43,12 @@ def _has_key(rows: Column) -> Column:
     return F.coalesce((n > 2) & (F.size(F.get(rows, n - 2)) == 0) & (F.size(F.get(rows, n - 1)) == 1), F.lit(False))
 
 
-def index_lists(spark: SparkSession, path: str, policy: str = "fail") -> DataFrame:
+def index_lists(spark: SparkSession, path: str, policy: str = "fail", pattern: str = "*.json") -> DataFrame:
     """The rows of index list documents (JSON arrays of 7 or 11 texts after a header): path, modified, pos, the 11 columns.
 
     An empty array has no rows. Another header, no JSON, or a row of another length is a fault of the whole document.
     """
-    docs = _documents(spark, path).withColumn("layout", _layout(F.col("rows"))).withColumn("key", _has_key(F.col("rows")))
+    docs = _documents(spark, path, pattern).withColumn("layout", _layout(F.col("rows"))).withColumn("key", _has_key(F.col("rows")))
     body = F.when(F.col("layout") > 0, F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1 - F.when(F.col("key"), 2).otherwise(0), F.lit(0)))).otherwise(F.array().cast("array<array<string>>"))
     docs = docs.withColumn("body", body)
     fault = F.when(F.col("rows").isNull(), "no_json").when(F.col("layout").isNull(), "header").when(F.exists("body", lambda r: F.coalesce(F.size(r) != F.col("layout"), F.lit(True))), "row_length")
@@ -61,9 +61,9 @@ def index_lists(spark: SparkSession, path: str, policy: str = "fail") -> DataFra
     return rows.select("path", "modified", "pos", *columns, *(["fault"] if policy == "report" else []))
 
 
-def resume_keys(spark: SparkSession, path: str) -> DataFrame:
+def resume_keys(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """(path, resume_key) of the documents that have one."""
-    docs = _documents(spark, path).where(_has_key(F.col("rows")))
+    docs = _documents(spark, path, pattern).where(_has_key(F.col("rows")))
     return docs.select("path", F.get(F.element_at("rows", -1), F.lit(0)).alias("resume_key"))
 
 

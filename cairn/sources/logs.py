@@ -36,13 +36,17 @@ def csv_log(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return bad.where(digest.is_digest(F.col("actual_digest"))).withColumnRenamed("archive_timestamp", "archive_ts"), withheld
 
 
+#: CSV that keeps blanks and quotes as they are.
+_EXACT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "errorifexists"}
+
+
 def write_csv_log(bad: DataFrame, withheld: DataFrame, folder: str) -> None:
     """Two CSV data sets with headers, ordered by observation."""
     columns = ["observed", "url", F.col("archive_ts").alias("archive_timestamp"), "expected_digest", "actual_digest"]
-    bad.select(*columns).orderBy("observed", "url").write.csv(f"{folder}/invalid-digests.csv", header=True, escape='"', mode="errorifexists")
-    withheld.select("observed", "url").orderBy("observed", "url").write.csv(f"{folder}/withheld-urls.csv", header=True, escape='"', mode="errorifexists")
+    bad.select(*columns).orderBy("observed", "url").write.csv(f"{folder}/invalid-digests.csv", header=True, **_EXACT)
+    withheld.select("observed", "url").orderBy("observed", "url").write.csv(f"{folder}/withheld-urls.csv", header=True, **_EXACT)
 
 
 def write_headerless(df: DataFrame, path: str, columns: list[str]) -> None:
     """Download queues, digest lists, item lists: headerless CSV of the named columns."""
-    df.select(*columns).write.csv(path, escape='"', mode="errorifexists")
+    df.select(*columns).write.csv(path, **_EXACT)

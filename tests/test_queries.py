@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-from cairn.plans import archive_queries, problems, relational_queries  # noqa: E402, F401
+from cairn.plans import archive_queries, problems, relational_queries, source_queries  # noqa: E402, F401
 
 QUERIES, SQL = archive_queries.QUERIES | problems.queries(), archive_queries.SQL | problems.oracle_sql()
 
