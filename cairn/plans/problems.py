@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import digest
 from cairn.operators import compaction, differences, nested, quarantine
+from cairn.plans import sqltext as q
 from cairn.session import shared_folder, table
 
 _POST = ("/data", "/data/*")
@@ -79,8 +80,26 @@ def _p1_sql() -> str:
     )
 
 
+def _p2_sql() -> str:
+    def side(name: str) -> str:
+        values = ", ".join(q.json_text(f"json_extract(j, '$.{f}')", False) + f" AS {f}" for f in FIELDS)
+        return f"{name} AS (SELECT DISTINCT d, {values} FROM (SELECT {q.clean('digest')} AS d, {name}_value::JSON AS j FROM merge_{name}))"
+
+    values = lambda side, f: f"(SELECT d, list(DISTINCT coalesce({f}, '') ORDER BY coalesce({f}, '')) AS {side}_values FROM {side} GROUP BY 1)"
+    differ = "".join(f" UNION ALL SELECT d, 'both', '{f}' FROM {values('first', f)} JOIN {values('second', f)} USING (d) WHERE first_values <> second_values" for f in FIELDS)
+    keys = "k AS (SELECT d, max(a) AS a, max(b) AS b FROM (SELECT d, 1 AS a, 0 AS b FROM first UNION ALL SELECT d, 0, 1 FROM second) GROUP BY 1)"
+    return f"WITH {side('first')}, {side('second')}, {keys} SELECT d AS digest, CASE WHEN b = 0 THEN 'first' ELSE 'second' END AS side, '' AS field FROM k WHERE a + b = 1{differ}"
+
+
+def _p4_sql() -> str:
+    lines = "l AS (SELECT file_id, i AS line_no, regexp_replace(x[i], '\\r$', '') AS line FROM (SELECT file_id, string_split(body, chr(10)) AS x FROM small_files) t, unnest(range(1, len(x) + 1)) u(i))"
+    whole = "w AS (SELECT file_id, line_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l WHERE line LIKE '%{%')"
+    records = f"r AS (SELECT file_id, line_no, {q.clean("(j->>'$.digest')")} AS digest, {q.json_text("json_extract(j, '$.content')", True)} AS content FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.digest') AND json_exists(j, '$.content'))"
+    return f"WITH {lines}, {whole}, {records} SELECT file_id, line_no::INT AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY digest, content ORDER BY file_id, line_no) AS n FROM r) WHERE n = 1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _p1_sql()}
+    return {"p1_found": _p1_sql(), "p2_found": _p2_sql(), "p4_found": _p4_sql()}
 
 
 def queries() -> dict:
