@@ -21,6 +21,8 @@ from cairn.llm.tokens import BYTE_BPE_50K, token_count
 from cairn.session import cut
 
 ROWS_PER_BUCKET = 20_000
+#: Membership patterns (sets of targets that share a text) up to which the flow is solved on the driver, their plans broadcast.
+MOST_PATTERNS = 20_000
 
 
 def normal_source(source: Column) -> Column:
@@ -100,7 +102,8 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int
     share_of_mixture. A source that can't fill its quota within its repeats falls short and shows it; one without
     documents reaches 0. Each quota is met to within one text. Documents without a targeted source count in total only;
     empty and null texts have no tokens and aren't chosen. Null shares count as 0, null repeats as 1; of targets that
-    repeat a source the greatest share and least repeats count. The result depends on texts, ids and seed, not on order.
+    repeat a source the greatest share and least repeats count. Over MOST_PATTERNS sets of targets that share texts (n
+    targets have 2^n) raise ValueError rather than leave any out. The result depends on texts, ids and seed, not on order.
     """
     spark = documents.sparkSession
     wanted = targets.select(normal_source(targets["source"]).alias("source"), F.coalesce(targets["target_share"], F.lit(0.0)).alias("share"), F.greatest(F.coalesce(targets["max_repeats"], F.lit(1)), F.lit(0)).alias("repeats"))
@@ -114,7 +117,9 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 0, total: int
     texts = by_source.groupBy("text_key").agg(members.alias("members"), F.max("tokens").alias("tokens"), F.sum("all_tokens").alias("all_tokens"))
     texts = cut(texts.withColumn("pattern", F.array_join(F.transform("members", lambda m: m["source"]), "\n")), "mixture")
 
-    by_pattern = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.sum("all_tokens").alias("all_tokens"), F.count("*").alias("n")).collect()  # a row per set of targets
+    by_pattern = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.sum("all_tokens").alias("all_tokens"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()  # a row per set of targets
+    if len(by_pattern) > MOST_PATTERNS:
+        raise ValueError(f"texts belong to over {MOST_PATTERNS} different sets of targets")
     total = sum(r.all_tokens for r in by_pattern) if total is None else total
     quotas = {s: floor(x * total + 0.5) for s, x in share.items()}
     patterns = {tuple(r.pattern.split("\n")): r.tokens for r in by_pattern if r.pattern and r.tokens}
