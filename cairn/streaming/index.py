@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,35 +12,68 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cairn.operators.archive import upsert
+from cairn.session import file_system
 
 
-def fill_index(rows: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """Keeps the last row per key of a stream of index rows in a table of versions (folders v=0, v=1, …).
+def fill_index(rows: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = 256) -> StreamingQuery:
+    """Keeps the last row per key of a stream of index rows in a table of buckets by key hash.
 
-    Each micro-batch reads the newest version, upserts and writes the next one whole; a batch that is run again after a
-    failure writes its own version again, so a batch counts once. The caller awaits or stops the query.
+    Each micro-batch reads and writes only the buckets that its keys fall into; a small manifest per batch, put in place
+    last, says in which batch each bucket was written. A batch that is run again after a failure does the same again,
+    so a batch counts once. buckets counts for a new table. The caller awaits or stops the query.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = index_version(spark, table, number - 1)
-        merged = batch if before is None else before.unionByName(batch)
+        n, written = _manifest(spark, table, number - 1) or (buckets, {})
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int").alias("bucket")
+        batch.persist()
+        touched = sorted(r.bucket for r in batch.select(bucket).distinct().collect())  # as many as buckets at most
+        old = _read(spark, table, {b: v for b, v in written.items() if b in touched})
+        merged = batch if old is None else old.unionByName(batch)
         out = upsert(merged.select("*", *[F.col(c).alias(f"_{c}") for c in order]), keys, [F.col(f"_{c}") for c in order])
-        out.select(*batch.columns).write.mode("overwrite").parquet(f"{table}/v={number}")
+        if touched:
+            out.select(*batch.columns, bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/{number}")
+        batch.unpersist()
+        _put(spark, f"{table}/manifest/{number}", json.dumps([n, {**written, **dict.fromkeys(touched, number)}]))
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_version(spark: SparkSession, table: str, number: int | None = None) -> DataFrame | None:
-    """A version of the table, the newest for None; None if there is none."""
-    from cairn.session import file_system
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    fs, final = file_system(spark, path)
+    folder, _, name = path.rpartition("/")
+    _, waiting = file_system(spark, f"{folder}/.{name}.tmp")
+    out = fs.create(waiting, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(waiting, final):
+        raise OSError(f"{path} can't be put in place")
+
 
-    fs, at = file_system(spark, table)
+def _manifest(spark: SparkSession, table: str, number: int | None) -> tuple[int, dict[int, int]] | None:
+    """(buckets, the batch that wrote each) after a batch, or after the last for None."""
+    fs, at = file_system(spark, f"{table}/manifest")
     if not fs.exists(at):
         return None
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(at) if s.getPath().getName().startswith("v=") and fs.exists(file_system(spark, f"{s.getPath()}/_SUCCESS")[1])]
+    done = [int(s.getPath().getName()) for s in fs.listStatus(at) if s.getPath().getName().isdigit()]
     done = [n for n in done if number is None or n <= number]
-    return spark.read.parquet(f"{table}/v={max(done)}") if done else None
+    if not done:
+        return None
+    n, written = json.loads(spark.read.text(f"{table}/manifest/{max(done)}").first().value)
+    return n, {int(b): v for b, v in written.items()}
+
+
+def _read(spark: SparkSession, table: str, written: dict[int, int]) -> DataFrame | None:
+    paths = [f"{table}/data/{v}/bucket={b}" for b, v in sorted(written.items())]
+    return spark.read.parquet(*paths) if paths else None
+
+
+def index_version(spark: SparkSession, table: str, number: int | None = None) -> DataFrame | None:
+    """The table after a batch, after the last for None; None if there is none."""
+    known = _manifest(spark, table, number)
+    return _read(spark, table, known[1]) if known else None
 
 
 LEASE = "key string, status string, timeout bigint"

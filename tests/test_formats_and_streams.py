@@ -74,7 +74,9 @@ def test_fill_index(spark, tmp_path):
         index.fill_index(stream, str(tmp_path / "t"), str(tmp_path / "cp"), ["key"], ["seen"]).awaitTermination()
         assert i or index.index_version(spark, str(tmp_path / "t")).count() == 2
     assert sorted(map(tuple, index.index_version(spark, str(tmp_path / "t")).select("key", "value", "seen").collect())) == [("a", 3, 2), ("b", 2, 1)]
-    assert index.index_version(spark, str(tmp_path / "none")) is None
+    assert index.index_version(spark, str(tmp_path / "none")) is None and index.index_version(spark, str(tmp_path / "t"), 0).count() == 2
+    folders = sorted((p.parent.name, p.name) for p in (tmp_path / "t/data").glob("*/bucket=*"))
+    assert len(folders) == 3 and [f[0] for f in folders] == ["0", "0", "1"]  # the second batch left b's bucket alone
 
 
 def run(spark, df, name, mode):
