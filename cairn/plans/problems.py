@@ -82,7 +82,7 @@ def _p1_sql() -> str:
 
 def _p2_sql() -> str:
     def side(name: str) -> str:
-        values = ", ".join(q.json_text(f"json_extract(j, '$.{f}')", False) + f" AS {f}" for f in FIELDS)
+        values = ", ".join(q.canonical_json(f"json_extract(j, '$.{f}')", False) + f" AS {f}" for f in FIELDS)
         return f"{name} AS (SELECT DISTINCT d, {values} FROM (SELECT {q.clean('digest')} AS d, {name}_value::JSON AS j FROM merge_{name}))"
 
     values = lambda side, f: f"(SELECT d, list(DISTINCT coalesce({f}, '') ORDER BY coalesce({f}, '')) AS {side}_values FROM {side} GROUP BY 1)"
@@ -94,7 +94,7 @@ def _p2_sql() -> str:
 def _p4_sql() -> str:
     lines = "l AS (SELECT file_id, i AS line_no, regexp_replace(x[i], '\\r$', '') AS line FROM (SELECT file_id, string_split(body, chr(10)) AS x FROM small_files) t, unnest(range(1, len(x) + 1)) u(i))"
     whole = "w AS (SELECT file_id, line_no, CASE WHEN json_valid(line) THEN line::JSON END AS j FROM l WHERE line LIKE '%{%')"
-    records = f"r AS (SELECT file_id, line_no, {q.clean("(j->>'$.digest')")} AS digest, {q.json_text("json_extract(j, '$.content')", True)} AS content FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.digest') AND json_exists(j, '$.content'))"
+    records = f"r AS (SELECT file_id, line_no, {q.clean("(j->>'$.digest')")} AS digest, {q.canonical_json("json_extract(j, '$.content')", True)} AS content FROM w WHERE json_type(j) = 'OBJECT' AND json_exists(j, '$.digest') AND json_exists(j, '$.content'))"
     return f"WITH {lines}, {whole}, {records} SELECT file_id, line_no::INT AS line_no FROM (SELECT *, row_number() OVER (PARTITION BY digest, content ORDER BY file_id, line_no) AS n FROM r) WHERE n = 1"
 
 

@@ -69,7 +69,7 @@ def surt(url: str) -> str:
 IS_KEY = "coalesce(regexp_matches(urlkey, '^[A-Za-z0-9_:-]{1,255}(,[A-Za-z0-9_:-]{1,255})*\\)'), false)"
 
 
-def json_text(value: str, nulls: bool) -> str:
+def canonical_json(value: str, nulls: bool) -> str:
     """One text for all ways to write a JSON value; without nulls, null members count as absent (null items never do)."""
     number = "CASE WHEN regexp_full_match(atom::VARCHAR, '-?[0-9]+') THEN regexp_replace(atom::VARCHAR, '^-0$', '0') ELSE (atom::VARCHAR::DOUBLE)::VARCHAR END"
     shown = f"CASE WHEN type = 'VARCHAR' THEN '\"' || (atom->>'$') WHEN type IN ('OBJECT', 'ARRAY', 'NULL') THEN type WHEN type = 'BOOLEAN' THEN atom::VARCHAR ELSE 'n' || {number} END"
