@@ -11,28 +11,30 @@ from cairn.session import shared_folder, table
 from cairn.sources import files, lists, logs, sinks
 
 _ROWS_A_LIST = 500
+_FOLDERS = 32  # of list documents, one file each; the driver lists up to 32 folders without a job
 _HEAD = ", ".join(cdx.HEADER)
 
 
 def _written_lists(s, d) -> str:
     """The captures as index list documents of some rows each, every third with a resume key."""
     path = shared_folder(s, "lists")
-    rows = table(s, d, "captures").select(F.floor(c("capture_id") / _ROWS_A_LIST).alias("doc"), F.array(*cdx.HEADER).alias("r"))
-    docs = rows.groupBy("doc").agg(F.collect_list("r").alias("rows"))  # as many rows as a document has
-    key = F.when(c("doc") % 3 == 0, F.array(F.array().cast("array<string>"), F.array(F.concat(F.lit("key "), "doc")))).otherwise(F.array().cast("array<array<string>>"))
-    text = F.to_json(F.concat(F.array(F.array(*map(F.lit, cdx.HEADER))), "rows", key))
-    docs.select("doc", text.alias("value")).write.partitionBy("doc").text(path)
+    rows = table(s, d, "captures").select(F.floor(c("capture_id") / _ROWS_A_LIST).alias("doc"), F.to_json(F.array(*cdx.HEADER)).alias("r"))
+    docs = rows.groupBy("doc").agg(F.array_join(F.collect_list("r"), ",").alias("rows"))  # as many rows as a document has
+    key = F.when(c("doc") % 3 == 0, F.concat(F.lit(",[],"), F.to_json(F.array(F.concat(F.lit("key "), "doc"))))).otherwise("")
+    text = F.concat(F.lit("["), F.to_json(F.array(*map(F.lit, cdx.HEADER))), F.lit(","), "rows", key, F.lit("]"))
+    folder = F.pmod("doc", F.lit(_FOLDERS)).alias("folder")
+    docs.select(folder, text.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path, compression="gzip")
     return path
 
 
 @query(f"SELECT {_HEAD}, count(*) AS n FROM captures GROUP BY ALL")
 def src1_index_lists(s, d):
-    return lists.index_lists(s, _written_lists(s, d), pattern="*.txt").groupBy(*cdx.HEADER).agg(F.count("*").alias("n"))
+    return lists.index_lists(s, _written_lists(s, d), pattern="*.txt.gz").groupBy(*cdx.HEADER).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT DISTINCT 'key ' || (capture_id // {_ROWS_A_LIST}) AS resume_key FROM captures WHERE (capture_id // {_ROWS_A_LIST}) % 3 = 0")
 def src2_resume_keys(s, d):
-    return lists.resume_keys(s, _written_lists(s, d), "*.txt").select("resume_key")
+    return lists.resume_keys(s, _written_lists(s, d), "*.txt.gz").select("resume_key")
 
 
 _FIELD = "coalesce(nullif(regexp_replace({0}, '[ \\n\\r]', '_', 'g'), ''), '-')"

@@ -26,10 +26,19 @@ def by_policy(df: DataFrame, policy: str, what: str) -> DataFrame:
     return df.where(told).drop("fault")
 
 
+def _once(value: Column) -> Column:
+    """A generator of one row with value, which is computed once a row, however often it is named later.
+
+    The optimizer moves filters below a select, with its expressions in place of their names, but not below a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def _documents(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, modified, rows) of whole files, plain or compressed as their names say; rows are null for what is no JSON."""
     text = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    parsed = F.from_json("value", "array<array<string>>")
-    return text.select(F.col("_metadata.file_path").alias("path"), F.unix_micros("_metadata.file_modification_time").alias("modified"), "value", parsed.alias("rows"))
+    text = text.select(F.col("_metadata.file_path").alias("path"), F.unix_micros("_metadata.file_modification_time").alias("modified"), "value")
+    return text.select("path", "modified", _once(F.from_json("value", "array<array<string>>")).alias("rows"))
 
 
 def _layout(rows: Column) -> Column:
@@ -52,7 +61,7 @@ def index_lists(spark: SparkSession, path: str, policy: str = "fail", pattern: s
     body = F.when(F.col("layout") > 0, F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1 - F.when(F.col("key"), 2).otherwise(0), F.lit(0)))).otherwise(F.array().cast("array<array<string>>"))
     docs = docs.withColumn("body", body)
     fault = F.when(F.col("rows").isNull(), "no_json").when(F.col("layout").isNull(), "header").when(F.exists("body", lambda r: F.coalesce(F.size(r) != F.col("layout"), F.lit(True))), "row_length")
-    docs = docs.withColumn("fault", fault).withColumn("body", F.when(fault.isNull(), F.col("body")))
+    docs = docs.select("path", "modified", "layout", "body", _once(fault).alias("fault")).withColumn("body", F.when(F.col("fault").isNull(), F.col("body")))
     exploded = by_policy(docs, policy, "index list")
     generator = F.posexplode_outer if policy == "report" else F.posexplode
     rows = exploded.select("path", "modified", "layout", *(["fault"] if policy == "report" else []), generator("body").alias("pos", "r"))

@@ -41,6 +41,32 @@ def test_index_lists(spark, tmp_path):
         lists.index_lists(spark, str(tmp_path)).collect()
 
 
+def test_index_lists_parse_once(spark, tmp_path):
+    """Neither the parse nor the check of the rows is repeated in what the optimizer makes of filters."""
+    put(tmp_path / "a.json.gz", gzip.compress(json.dumps([list(cdx.HEADER), ROW, [], ["next key"]]).encode()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for policy in ("fail", "skip", "report"):
+        rows = lists.index_lists(spark, str(tmp_path), policy, "*.json.gz")
+        assert plan(rows).count("from_json(") == 1 == plan(rows).count("exists(") and rows.count() == 1
+    keys = lists.resume_keys(spark, str(tmp_path), "*.json.gz")
+    assert plan(keys).count("from_json(") == 1 and [r.resume_key for r in keys.collect()] == ["next key"]
+
+
+def test_written_lists(spark, tmp_path):
+    """One file a list in a fixed number of folders, and no file for a table without rows."""
+    from cairn.plans import source_queries
+
+    for name, lists_written in (("some", 100), ("none", 0)):
+        ids = spark.range(lists_written * 500).select(F.col("id").alias("capture_id"), *[F.when(F.col("id") % 7 > 0, F.concat(F.lit(f'{n} "\\ü,'), F.col("id").cast("string"))).alias(n) for n in cdx.HEADER])
+        ids.repartition(5).write.parquet(str(tmp_path / name / "captures.parquet"))
+        path = source_queries._written_lists(spark, str(tmp_path / name)).removeprefix("file:")
+        found = [(at, f) for at, _, files_there in os.walk(path) for f in files_there if f.endswith(".txt.gz")]
+        assert len(found) == lists_written and len({at for at, _ in found}) <= 32
+        rows = source_queries.src1_index_lists(spark, str(tmp_path / name)).select(*cdx.HEADER, "n")
+        assert sorted(map(str, rows.collect())) == sorted(map(str, ids.groupBy(*cdx.HEADER).agg(F.count("*").alias("n")).collect()))
+        assert source_queries.src2_resume_keys(spark, str(tmp_path / name)).count() == (lists_written + 2) // 3
+
+
 def test_walk_and_lists(spark, tmp_path):
     for i, n in enumerate("ba"):
         os.utime(put(tmp_path / f"{n}.json", "[]"), (i, i))
